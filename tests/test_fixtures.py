@@ -107,15 +107,12 @@ def with_n(text):
     return {(x[0], x[1], int(x[2:])): 1 for x in text.split()}
 
 
-def test_closure(spark, mode):
+def test_closure(spark):
     b = Builder(spark)
     own, edges = b.create_input("s STRING, d STRING")
     out = closure(b, edges).get_arrangement(b)
-    run = b.begin(mode)
-    feed(run, own, "AB BC AC DE")
-    run.commit()
-    assert out.to_dict(run) == pairs("AB BC AC DE")
-    feed(run, own, "CD")
+    run = b.begin("delta")
+    feed(run, own, "AB BC AC DE CD")
     run.commit()
     assert out.to_dict(run) == pairs("CD AD BD CE AE BE AB BC AC DE")
     feed(run, own, sub=["AC"])
@@ -126,11 +123,11 @@ def test_closure(spark, mode):
     assert out.to_dict(run) == pairs("CD BD CE BE BC DE")
 
 
-def test_distances(spark, mode):
+def test_distances(spark):
     b = Builder(spark)
     own, edges = b.create_input("s STRING, d STRING")
     out = distances(b, edges).get_arrangement(b)
-    run = b.begin(mode)
+    run = b.begin("delta")
     feed(run, own, "AB BC AC DE CD")
     run.commit()
     assert out.to_dict(run) == with_n("CD1 AD2 BD2 CE2 AE3 BE3 AB1 BC1 AC1 DE1")
@@ -248,21 +245,35 @@ def test_weights(spark, mode):
 
 
 def test_joins(spark, mode):
-    kv = "k STRING, a STRING"
-    two = [(("k", "a"), 2), (("m", "b"), 5)]
-    assert twice(spark, [kv, "k STRING, b STRING"], [two, [(("k", "b"), 3)]], lambda x, y: x.join(y, "k"), mode) == {("k", "a", "b"): 6}
-    assert twice(spark, [kv, "k STRING"], [two, [("k", 3)]], lambda x, y: x.semijoin(y, "k"), mode) == {("k", "a"): 6}
-    assert twice(spark, [kv, "k STRING"], [two, [("k", -1)]], lambda x, y: x.antijoin(y, "k"), mode) == {("m", "b"): 5}
-    assert twice(spark, [kv, "k STRING"], [two, [("k", 3)]], lambda x, y: x.semijoin_on_fst(y), mode) == {("k", "a"): 6}
-    assert twice(spark, [kv, "k STRING"], [two, [("a", 3)]], lambda x, y: x.semijoin_on_snd(y), mode) == {("k", "a"): 6}
-    assert twice(spark, [kv, "k STRING"], [two, [("k", 3)]], lambda x, y: x.antijoin_on_fst(y), mode) == {("m", "b"): 5}
-    assert twice(spark, [kv, "k STRING"], [two, [("b", 3)]], lambda x, y: x.antijoin_on_snd(y), mode) == {("k", "a"): 2}
-    assert twice(spark, [kv, "k STRING"], [two, [("KA", 3)]], lambda x, y: x.semijoin_on(y, "upper(k || a)"), mode) == {("k", "a"): 6}
-    assert twice(spark, [kv, "k STRING"], [two, [("KA", 3)]], lambda x, y: x.antijoin_on(y, "upper(k || a)"), mode) == {("m", "b"): 5}
-    none = [((None, "a"), 1)]
-    assert twice(spark, [kv, "k STRING, b STRING"], [none, [((None, "b"), 1)]], lambda x, y: x.join(y, "k"), mode) == {(None, "a", "b"): 1}
-    assert twice(spark, [kv, "k STRING, b STRING"], [two, [(("k", "b"), 1)]], lambda x, y: x.left_join(y, "k"), mode) == {("k", "a", "b"): 2, ("m", "b", None): 5}
-    assert twice(spark, ["a BIGINT", "b BIGINT"], [[(1, 2)], [(5, 1), (6, 1)]], lambda x, y: x.join(y, []), mode) == {(1, 5): 2, (1, 6): 2}
+    b = Builder(spark)
+    li, x = b.create_input("k STRING, a STRING")
+    ins = {n: b.create_input("k STRING") for n in ("three", "minus", "a", "b", "both")}
+    (three, minus, on_a, on_b, both) = (r for _, r in ins.values())
+    pi, p = b.create_input("k STRING, b STRING")
+    outs = {
+        "join": (x.join(p, "k"), {("k", "a", "b"): 6, (None, "n", "m"): 1}),
+        "semijoin": (x.semijoin(three, "k"), {("k", "a"): 6}),
+        "antijoin": (x.antijoin(minus, "k"), {("m", "b"): 5, (None, "n"): 1}),
+        "fst": (x.semijoin_on_fst(three), {("k", "a"): 6}),
+        "snd": (x.semijoin_on_snd(on_a), {("k", "a"): 6}),
+        "anti_fst": (x.antijoin_on_fst(three), {("m", "b"): 5, (None, "n"): 1}),
+        "anti_snd": (x.antijoin_on_snd(on_b), {("k", "a"): 2, (None, "n"): 1}),
+        "on": (x.semijoin_on(both, "upper(k || a)"), {("k", "a"): 6}),
+        "anti_on": (x.antijoin_on(both, "upper(k || a)"), {("m", "b"): 5, (None, "n"): 1}),
+        "left": (x.left_join(p, "k"), {("k", "a", "b"): 6, ("m", "b", None): 5, (None, "n", "m"): 1}),
+        "cross": (three.rename(k="u").join(on_a, []), {("k", "a"): 9}),
+    }
+    read = {n: (r.get_arrangement(b), expected) for n, (r, expected) in outs.items()}
+    run = b.begin(mode)
+    for row, w in ((("k", "a"), 2), (("m", "b"), 5), ((None, "n"), 1)):
+        li.update(run, row, w)
+    for n, k, w in (("three", "k", 3), ("minus", "k", -1), ("a", "a", 3), ("b", "b", 3), ("both", "KA", 3)):
+        ins[n][0].update(run, k, w)
+    pi.update(run, ("k", "b"), 3)
+    pi.insert(run, (None, "m"))
+    run.commit()
+    for n, (out, expected) in read.items():
+        assert out.to_dict(run) == expected, n
 
 
 def test_antijoin_follows_the_right_side(spark, mode):

@@ -42,9 +42,8 @@ class Relation:
     def schema(self) -> T.StructType:
         return self.node.schema
 
-    def _linear(self, op: str, fn: Callable[[DataFrame], DataFrame], unit: bool = False, positive: bool | None = None, weights: WeightType | None = None, schema: T.StructType | None = None) -> Relation:
-        positive = self.node.positive if positive is None else positive
-        return Relation(Linear(self.node, op, fn, weights, unit and self.node.unit, positive, schema))
+    def _linear(self, op: str, fn: Callable[[DataFrame], DataFrame], unit: bool = False, keeps_sign: bool = True, weights: WeightType | None = None, schema: T.StructType | None = None) -> Relation:
+        return Relation(Linear(self.node, op, fn, weights, unit and self.node.unit, keeps_sign, schema))
 
     # projection, filter, weights
 
@@ -103,14 +102,14 @@ class Relation:
         """
         if callable(items) and not isinstance(items, Column):
             schema = struct_type(schema)
-            return self._linear("flat_map_dr", per_row(items, schema, self.node.weights, weights, sees_weight=True), positive=False, weights=weights, schema=schema)
+            return self._linear("flat_map_dr", per_row(items, schema, self.node.weights, weights, sees_weight=True), keeps_sign=False, weights=weights, schema=schema)
 
         def fn(df: DataFrame) -> DataFrame:
             out = df.select(F.explode(_column(items)).alias("_item"))
             fields = [n for n in out.schema["_item"].dataType.names if n not in weights.names]
             return out.select(*[F.col(f"_item.`{f}`").alias(f) for f in fields], *[F.col(f"_item.{n}").cast(t).alias(n) for n, t in weights.fields])
 
-        return self._linear("flat_map_dr", fn, positive=False, weights=weights)
+        return self._linear("flat_map_dr", fn, keeps_sign=False, weights=weights)
 
     def filter(self, condition: str | Column | Callable) -> Relation:
         """Rows for which the condition is true. A Python callable takes a dict."""
@@ -124,10 +123,10 @@ class Relation:
         """New weights from the weights alone. The expression must be additive, f(a + b) = f(a) + f(b), for it is applied
         to changes and to merged rows alike."""
         columns = [_column(c).cast(t).alias(n) for c, (n, t) in zip(weight_columns, weights.fields, strict=True)]
-        return self._linear("map_r", lambda df: df.select(*[F.col(f"`{c}`") for c in self.columns], *columns), positive=False, weights=weights, schema=self.schema)
+        return self._linear("map_r", lambda df: df.select(*[F.col(f"`{c}`") for c in self.columns], *columns), keeps_sign=False, weights=weights, schema=self.schema)
 
     def negate(self) -> Relation:
-        return self._linear("negate", lambda df: df.withColumns(self.node.weights.negated()), positive=False, schema=self.schema)
+        return self._linear("negate", lambda df: df.withColumns(self.node.weights.negated()), keeps_sign=False, schema=self.schema)
 
     # union
 
@@ -226,7 +225,7 @@ class Relation:
             df = df.select(*[F.col(f"`{c}`") for c in columns])
             return with_ones(df if merged else df.distinct())
 
-        return Relation(Reduce(self.node, "distinct", columns, fn, merged=merged, schema=self.schema))
+        return Relation(Reduce(self.node, "distinct", columns, fn, merged=merged, schema=self.schema, insertions="distinct"))
 
     # aggregation
 
@@ -296,7 +295,7 @@ class Relation:
             return with_ones(out.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"_m.v{i}").alias(v) for i, v in enumerate(values)]))
 
         schema = T.StructType([*[self.schema[k] for k in keys], *[self.schema[v] for v in values]])
-        return Relation(Reduce(self.node, op, keys, fn, merged=not self.node.positive, schema=schema))
+        return Relation(Reduce(self.node, op, keys, fn, merged=not self.node.positive, schema=schema, insertions=op.removeprefix("group_")))
 
     def group_top_k(self, keys: str | list[str], k: int, *order: Column | str) -> Relation:
         """The first k rows of each group; ties beyond `order` go by the columns. Spark keeps k rows of a group and task

@@ -190,7 +190,7 @@ class Session:
             self._run = DeltaRun(self.store, self.targets(), self.messages)
         if self._run.last >= self.step:
             return
-        self._changes = self._run.advance(self.step, self.snapshot())
+        self._changes = self._run.advance(self.step, self.snapshot(), Snapshot(self, self._run.last))
         for n, d in self._changes.items():
             if d is not None:
                 log = self._logs.setdefault(n, [])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zedweave.plans.nodes import AntiJoin, Enter, Frame, Leave, Node, Reduce, Source, Variable
 from zedweave.plans.weights import consolidated, union
@@ -33,7 +34,13 @@ class DeltaRun:
         self.feed: dict[Variable, Frame] = {}
         self.at: Snapshot | None = None
         self.results: dict[Node, DataFrame] = {}
+        self.grown: dict[Node, bool] = {}  # whether all changes logged so far were positive
+        self.had_grown: dict[Node, bool] = {}
+        self.signs: dict[Node, bool] = {}
+        self.before: Snapshot | None = None
+        self.growing: set[Node] = set()
         self._moving: dict[Node, bool] = {}
+        self.by_output: set[Node] = set()  # reduces of which the output is kept, as long as only insertions come
         self.kept_nodes = self._kept()
 
     def _reachable(self) -> list[Node]:
@@ -70,12 +77,17 @@ class DeltaRun:
 
     def _kept(self) -> set[Node]:
         out = set()
+        self.asked: set[Node] = set()  # nodes of which other nodes' rules read the log
         for n in self._reachable():
             deps = n.stateful()
             for i, d in enumerate(deps):
                 own = isinstance(n, Reduce) or isinstance(n, AntiJoin) and i == 1
                 if own and self.moving(d) or any(self.moving(x) for j, x in enumerate(deps) if j != i):
                     out.add(d)
+                    self.asked.add(d)
+            if isinstance(n, Reduce) and n.insertions and self.moving(n.deps[0]):
+                out.add(n)
+                self.by_output.add(n)
         return out
 
     # what the rules ask for
@@ -91,7 +103,55 @@ class DeltaRun:
             self.now[node] = d
         return self.now[node]
 
-    kept = delta
+    def keep(self, node: Node) -> Frame:
+        """This step's delta, saved; it is logged from now on if the node moves."""
+        d = self.delta(node)
+        if self.moving(node):
+            self.asked.add(node)
+        if d is not None and node not in self.kept_nodes and self.moving(node):
+            self.kept_nodes.add(node)
+            if self.counts is None and not isinstance(node, Variable):
+                d = self.now[node] = self.store.save(consolidated(d, node.weights))
+        return d
+
+    def only_insertions(self, node: Reduce) -> bool:
+        """Whether a reduce may go by its output so far. At the first retraction its input's earlier contents are
+        computed and kept from then on."""
+        dep = node.deps[0]
+        if not self.moving(dep):
+            return False
+        if node in self.by_output and self.grows(dep):
+            return True
+        if node in self.by_output:
+            self.by_output.discard(node)
+            if self.last >= 0 and dep not in self.kept_nodes:
+                self.logs[dep] = [self.store.save(consolidated(self.before.frame(dep), dep.weights))]
+                self.grown[dep] = False
+        return False
+
+    def by_insertions(self, node: Reduce) -> bool:
+        return node in self.by_output
+
+    def grows(self, node: Node) -> bool:
+        """Whether this step's delta is known to hold positive weights only."""
+        if node not in self.signs:
+            self.signs[node] = self.delta(node) is None or node.grows(self)
+        return self.signs[node]
+
+    def has_grown(self, node: Node) -> bool:
+        return self.grown.get(node, True)
+
+    def feed_grows(self, variable: Variable) -> bool:
+        return variable in self.growing
+
+    def measured(self, node: Node) -> bool:
+        """The sign of a delta found by looking at it."""
+        if node.positive:
+            return True
+        if not node.weights.is_integer:
+            return False
+        least = self.keep(node) if self.moving(node) else self.delta(node)
+        return least.agg(F.coalesce(F.min("_w"), F.lit(1)).alias("w")).first()["w"] > 0
 
     def state(self, node: Node) -> Frame:
         """The relation before this step."""
@@ -121,17 +181,22 @@ class DeltaRun:
 
     # steps
 
-    def advance(self, step: int, at: Snapshot, feed: dict[Variable, Frame] | None = None) -> dict[Node, Frame]:
-        """The targets' changes from the last step to this one, saved."""
-        self.step, self.at, self.feed, self.now = step, at, feed or {}, {}
+    def advance(self, step: int, at: Snapshot, before: Snapshot, feed: dict[Variable, Frame] | None = None, growing: set[Node] = frozenset()) -> dict[Node, Frame]:
+        """The targets' changes from the last step to this one, saved. before: the snapshot of the last step; feed: the
+        variables' changes, growing: those of positive weights only."""
+        self.step, self.at, self.before, self.feed, self.growing, self.now, self.signs = step, at, before, feed or {}, growing, {}, {}
         out = {}
         for n in self.targets:
             d = self.delta(n)
             if d is not None and n not in self.kept_nodes and self.counts is None:
                 d = self.store.save(consolidated(d, n.weights))
             out[n] = d
-        for n in self.kept_nodes:
+        for n in list(self.kept_nodes):
+            if isinstance(n, Reduce) and n.insertions and n not in self.by_output and n not in self.asked:
+                continue  # only its own rule read its output's log
             if (d := self.delta(n)) is not None:
+                self.had_grown[n] = self.has_grown(n)
+                self.grown[n] = self.had_grown[n] and self.grows(n)
                 log = self.logs.setdefault(n, [])
                 log.append(d)
                 if len(log) > LONG:
@@ -139,5 +204,10 @@ class DeltaRun:
         self.last = step
         return out
 
+    def seen_to_grow(self, node: Node) -> None:
+        """A look at the last step's delta has found positive weights only, which the rules couldn't know."""
+        if node in self.grown:
+            self.grown[node] = self.had_grown.get(node, False)
+
     def merged(self, log: list[DataFrame], node: Node) -> DataFrame:
         return self.store.save(consolidated(union(log), node.weights))

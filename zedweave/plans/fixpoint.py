@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from zedweave.plans.delta import LONG, DeltaRun
 from zedweave.plans.nodes import Node, Variable
@@ -25,6 +26,14 @@ class NoFixpoint(RuntimeError):
     """A scope still changes after its largest number of rounds."""
 
 
+def sign(d: DataFrame) -> bool | None:
+    """None: d is empty; True: all weights are positive."""
+    if "_w" not in d.columns:
+        return None if d.isEmpty() else False
+    least = d.agg(F.min("_w").alias("w")).first()["w"]
+    return None if least is None else least > 0
+
+
 class Fixpoint:
     def __init__(self, scope: Scope, outer: Snapshot):
         self.scope, self.outer, self.rounds = scope, outer, 0
@@ -39,21 +48,28 @@ class Fixpoint:
         store = self.outer.session.store
         run = DeltaRun(store, list(dict.fromkeys(v.body for v in variables)))
         feed: dict[Variable, DataFrame] = {}
+        growing: set[Variable] = set()
         while True:
-            inner = self.outer.inner({v: union(log) for v, log in self.logs.items() if log})
-            out = run.advance(self.rounds, inner, feed)
-            inner.release()
+            # the variables of the round before, and of this one
+            before = self.outer.inner({v: union(log) for v, log in self.logs.items() if log})
+            for v, d in feed.items():
+                self.logs[v].append(d)
+            now = self.outer.inner({v: union(log) for v, log in self.logs.items() if log})
+            out = run.advance(self.rounds, now, before, feed, growing)
             self.rounds += 1
-            changed = {b: d for b, d in out.items() if d is not None and not d.isEmpty()}
-            feed = {v: changed[v.body].select(*v.columns, *v.weights.names) for v in variables if v.body in changed}
+            signs = {b: sign(d) for b, d in out.items() if d is not None}
+            feed = {v: out[v.body].select(*v.columns, *v.weights.names) for v in variables if signs.get(v.body) is not None}
+            growing = {v for v in feed if signs[v.body]}
+            for b, positive in signs.items():
+                if positive is not False:
+                    run.seen_to_grow(b)
             if not feed:
                 return
             if self.rounds >= self.scope.max_rounds:
                 raise NoFixpoint(f"the scope still changes after {self.rounds} rounds; are its tiers right?")
-            for v, d in feed.items():
-                self.logs[v].append(d)
-                if len(self.logs[v]) > LONG:
-                    self.logs[v] = [store.save(consolidated(union(self.logs[v]), v.weights))]
+            for v, log in self.logs.items():
+                if len(log) > LONG:
+                    self.logs[v] = [store.save(consolidated(union(log), v.weights))]
 
     def result(self, node: Node) -> DataFrame:
         for v in self.scope.variables:

@@ -62,6 +62,10 @@ class Node:
         """The inputs whose contents a delta rule reads again in later steps."""
         return []
 
+    def grows(self, run: DeltaRun) -> bool:
+        """Whether this step's delta is known to have positive weights only."""
+        return False
+
     def empty(self) -> DataFrame:
         spark = self.scope.root.spark
         return spark.createDataFrame([], T.StructType([*self.schema.fields, *T._parse_datatype_string(self.weights.ddl()).fields]))
@@ -84,11 +88,11 @@ class Source(Node):
 
     def __init__(self, scope: Scope, schema: T.StructType, weights: WeightType, frame: Frame = None, unit: bool = False):
         super().__init__(scope, [], schema, weights, unit, positive=frame is not None)
-        self.frame, self.log = frame, []  # log: (step, frame)
+        self.frame, self.log = frame, []  # log: (step, frame, whether all its weights are positive)
 
     def changes(self, after: int, upto: int) -> Frame:
         """What was committed in the steps after+1 .. upto; a static frame counts as step 0, the first of all."""
-        parts = [f for s, f in self.log if after < s <= upto]
+        parts = [f for s, f, _ in self.log if after < s <= upto]
         if self.frame is not None and after < 0:
             parts.insert(0, self.frame)
         return union(parts) if parts else None
@@ -100,14 +104,17 @@ class Source(Node):
     def delta(self, run):
         return self.changes(run.last, run.step)
 
+    def grows(self, run):
+        return (self.positive or run.last >= 0) and all(p for s, _, p in self.log if run.last < s <= run.step)
+
 
 class Linear(Node):
     """An operator that works row by row: what it makes of changes are the changes of what it makes."""
 
-    def __init__(self, dep: Node, op: str, fn: Callable[[DataFrame], DataFrame], weights: WeightType | None = None, unit: bool = False, positive: bool = False, schema: T.StructType | None = None):
+    def __init__(self, dep: Node, op: str, fn: Callable[[DataFrame], DataFrame], weights: WeightType | None = None, unit: bool = False, keeps_sign: bool = True, schema: T.StructType | None = None):
         weights = weights or dep.weights
-        super().__init__(dep.scope, [dep], schema or schema_of(fn(dep.empty()), weights), weights, unit, positive)
-        self.op, self.fn = op, fn
+        super().__init__(dep.scope, [dep], schema or schema_of(fn(dep.empty()), weights), weights, unit, keeps_sign and dep.positive)
+        self.op, self.fn, self.keeps_sign = op, fn, keeps_sign
 
     def snapshot(self, at):
         return self.fn(at.frame(self.deps[0]))
@@ -116,6 +123,9 @@ class Linear(Node):
         d = run.delta(self.deps[0])
         return None if d is None else self.fn(d)
 
+    def grows(self, run):
+        return self.keeps_sign and run.grows(self.deps[0])
+
 
 class Concat(Node):
     """Multiset union: weights add."""
@@ -138,6 +148,9 @@ class Concat(Node):
         parts = [d for d in map(run.delta, self.deps) if d is not None]
         return union(parts) if parts else None
 
+    def grows(self, run):
+        return all(map(run.grows, self.deps))
+
 
 def _keys(left: Node, right: Node, on) -> list[tuple[str, str]]:
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in ([on] if isinstance(on, str) else on)]
@@ -215,6 +228,9 @@ class Join(Node):
     def stateful(self):
         return self.deps
 
+    def grows(self, run):
+        return self.weights.is_integer and all(run.grows(n) and run.has_grown(n) for n in self.deps)
+
 
 class AntiJoin(Node):
     """Rows of the left side whose key has weight zero on the right, weights unchanged."""
@@ -334,11 +350,12 @@ class Reduce(Node):
     """A function of each group's whole contents. fn takes a frame with all rows of its groups and returns rows by group.
 
     merged: fn needs equal rows merged and zero weights gone (else it only needs positive weights).
+    insertions: how insertions alone change the output, from the output so far: "distinct", "min" or "max".
     """
 
-    def __init__(self, dep: Node, op: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], unit: bool = True, merged: bool = True, weights: WeightType = INTEGER, schema: T.StructType | None = None):
+    def __init__(self, dep: Node, op: str, keys: list[str], fn: Callable[[DataFrame], DataFrame], unit: bool = True, merged: bool = True, weights: WeightType = INTEGER, schema: T.StructType | None = None, insertions: str | None = None):
         super().__init__(dep.scope, [dep], schema or schema_of(fn(dep.empty()), weights), weights, unit, positive=unit)
-        self.op, self.keys, self.fn, self.merged = op, keys, fn, merged
+        self.op, self.keys, self.fn, self.merged, self.insertions = op, keys, fn, merged, insertions
 
     def snapshot(self, at):
         dep = self.deps[0]
@@ -347,20 +364,47 @@ class Reduce(Node):
 
     def delta(self, run):
         dep = self.deps[0]
-        d = run.delta(dep)
-        if d is None:
+        if run.delta(dep) is None:
             return None
-        d, old = run.kept(dep), run.state(dep)
+        if self.insertions and run.only_insertions(self):
+            return self.after_insertions(run.delta(dep), run.state(self), run.has_grown(self))
+        d, old = run.keep(dep), run.state(dep)
         if old is None:
             return self.fn(consolidated(d, dep.weights))
+        # one sum gives the touched groups' rows both before and after
         touched = d.select(*[F.col(f"`{k}`") for k in self.keys]).distinct()
-        old = consolidated(only(old, dep, touched, self.keys), dep.weights)
-        new = consolidated(old.unionByName(d), dep.weights)
-        after, before = self.fn(new), self.fn(old)
-        return consolidated(after.unionByName(before.withColumns(self.weights.negated())), self.weights)
+        names = dep.weights.names
+        before = only(old, dep, touched, self.keys).withColumns({f"_was{i}": F.col(n) for i, n in enumerate(names)})
+        both = before.unionByName(d.withColumns({f"_was{i}": F.lit(0).cast(t) for i, (_, t) in enumerate(dep.weights.fields)}))
+        both = both.groupBy(*[F.col(f"`{c}`") for c in dep.columns]).agg(*dep.weights.sums(), *[F.sum(f"_was{i}").cast(t).alias(f"_was{i}") for i, (_, t) in enumerate(dep.weights.fields)])
+        columns = [F.col(f"`{c}`") for c in dep.columns]
+        new = both.select(*columns, *names).where(dep.weights.nonzero())
+        was = both.select(*columns, *[F.col(f"_was{i}").alias(n) for i, n in enumerate(names)]).where(dep.weights.nonzero())
+        return consolidated(self.fn(new).unionByName(self.fn(was).withColumns(self.weights.negated())), self.weights)
+
+    def after_insertions(self, d: DataFrame, old: Frame, old_grown: bool) -> DataFrame:
+        """The changes of the output when rows d of positive weights come in. old: the output's log, if it has grown only
+        without retractions in it."""
+        new = with_ones(d.select(*[F.col(f"`{c}`") for c in self.columns]).distinct()) if self.insertions == "distinct" else self.fn(d)
+        if old is None:
+            return new
+        old = old if old_grown else consolidated(old, self.weights)
+        if self.insertions == "distinct":
+            return new.join(renamed(old), null_safe(self, self, [(c, c) for c in self.columns]) if self.columns else F.lit(True), "left_anti")
+        values = [c for c in self.columns if c not in self.keys]
+        both = new.join(renamed(old), null_safe(self, self, [(k, k) for k in self.keys]) if self.keys else F.lit(True), "left")
+        a, b = (F.struct(*[F.col(f"`{p}{v}`").alias(f"v{i}") for i, v in enumerate(values)]) for p in ("", "_r_"))
+        gone = F.col("_r__w").isNotNull()
+        both = both.where(~gone | (a < b if self.insertions == "min" else a > b))
+        row = lambda v, w: F.struct(v.alias("v"), F.lit(w).cast("bigint").alias("w"))
+        both = both.select(*[F.col(f"`{k}`") for k in self.keys], F.explode(F.when(gone, F.array(row(a, 1), row(b, -1))).otherwise(F.array(row(a, 1)))).alias("_c"))
+        return both.select(*[F.col(f"`{k}`") for k in self.keys], *[F.col(f"_c.v.v{i}").alias(v) for i, v in enumerate(values)], F.col("_c.w").alias("_w"))
 
     def stateful(self):
-        return self.deps
+        return [] if self.insertions else self.deps
+
+    def grows(self, run):
+        return run.delta(self.deps[0]) is None or self.insertions == "distinct" and run.by_insertions(self)
 
 
 class Variable(Node):
@@ -378,6 +422,9 @@ class Variable(Node):
     def delta(self, run):
         return run.fed(self)
 
+    def grows(self, run):
+        return run.delta(self) is None or run.feed_grows(self)
+
 
 class Enter(Crossing):
     """An outer relation inside a recursive scope: it doesn't change while the scope iterates."""
@@ -395,6 +442,9 @@ class Enter(Crossing):
     def delta(self, run):
         return run.entered(self)
 
+    def grows(self, run):
+        return run.step > 0 or run.measured(self)
+
 
 class Leave(Crossing):
     """A relation of a recursive scope at its fixpoint, for the parent scope."""

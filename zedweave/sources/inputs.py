@@ -26,6 +26,7 @@ class Input:
         self.build, self.node = build, node
         self._rows: dict[tuple, list] = {}
         self._frames: list[DataFrame] = []
+        self._grows = True  # whether the frames hold positive weights only
 
     def _check(self, session: Session) -> None:
         if session.build is not self.build:
@@ -72,9 +73,9 @@ class Input:
         for r in rows:
             self.insert(session, r)
 
-    def update_df(self, session: Session, df: DataFrame) -> None:
+    def update_df(self, session: Session, df: DataFrame, positive: bool = False) -> None:
         """All rows of df with the weights in its weight columns. In snapshot mode df is planned with what reads it and
-        must read alike each time; in delta mode it is saved at commit."""
+        must read alike each time; in delta mode it is saved at commit. positive: it has no other weights."""
         self._check(session)
         names, fields = self.node.weights.names, self.node.weights.fields
         if missing := [c for c in [*self.node.columns, *names] if c not in df.columns]:
@@ -83,11 +84,12 @@ class Input:
         for f in self.node.schema.fields:
             c = F.col(f"`{f.name}`").cast(f.dataType)
             columns.append((c if f.nullable else F.coalesce(c, F.raise_error(F.lit(f"null in {f.name}")).cast(f.dataType))).alias(f.name))
+        self._grows = self._grows and positive
         self._frames.append(df.select(*columns, *[F.col(n).cast(t).alias(n) for n, t in fields]))
 
     def insert_df(self, session: Session, df: DataFrame) -> None:
         self._unit(1)
-        self.update_df(session, with_ones(df))
+        self.update_df(session, with_ones(df), positive=True)
 
     def delete_df(self, session: Session, df: DataFrame) -> None:
         self._unit(-1)
@@ -95,8 +97,9 @@ class Input:
 
     def close_step(self, session: Session) -> None:
         """Called by commit: moves the buffer to the log."""
-        parts, self._frames = self._frames, []
+        parts, self._frames, grows, self._grows = self._frames, [], self._grows and self.node.weights.is_integer, True
         if self._rows:
+            grows = grows and all(w[0] > 0 for w in self._rows.values())
             schema = T.StructType([*self.node.schema.fields, *T._parse_datatype_string(self.node.weights.ddl()).fields])
             parts.append(session.spark.createDataFrame([(*k, *w) for k, w in self._rows.items()], schema))
             self._rows = {}
@@ -106,9 +109,9 @@ class Input:
         if session.mode == "delta":
             df = session.store.save(consolidated(df, self.node.weights))
         log = self.node.log
-        log.append((session.step, df))
+        log.append((session.step, df, grows))
         if len(log) > LONG:
-            old = [(s, f) for s, f in log if s <= session.read_upto()]
+            old = [x for x in log if x[0] <= session.read_upto()]
             if len(old) > 1:
-                merged = session.store.save(consolidated(union([f for _, f in old]), self.node.weights))
-                self.node.log = [(old[-1][0], merged), *[(s, f) for s, f in log if s > old[-1][0]]]
+                merged = session.store.save(consolidated(union([f for _, f, _ in old]), self.node.weights))
+                self.node.log = [(old[-1][0], merged, all(p for _, _, p in old)), *[x for x in log if x[0] > old[-1][0]]]
