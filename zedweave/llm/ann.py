@@ -106,7 +106,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, the same for the same two vectors wherever they stand."""
+    """Row by row, the same for the same two vectors wherever they stand. Powers of two scale exactly, so that squares of
+    very small or large components neither vanish nor overflow."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
