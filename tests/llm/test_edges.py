@@ -1,0 +1,232 @@
+"""Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, and extra columns with clashing names."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.test_brute import fingerprint, licence_base, personal, rules
+from zedweave.llm import ann, common, licences, mixing, packing, pii, quality, sharding, simhash, token_files, warc
+from zedweave.llm.queries import tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, target double, copies int, kept boolean, words string, size string, fp long, k int, _h string, _key string, _th string, shard int, n int"
+LONG = " ".join(f"w{i % 977} {i}" for i in range(60_000))
+PROSE = "A quiet morning by the river where the boats drift slowly past the old mill and nobody asks what hour it is\n"
+MAIL = PROSE + "write to jo.bloggs@mail.example.org or +44 20 7946 0958 from 10.0.0.1 with 4111 1111 1111 1111 today\n" + PROSE[::-1]
+TEXTS = [
+    (1, PROSE, "a"), (2, PROSE, "a"), (3, PROSE, None), (3, PROSE, None), (3, PROSE, None),  # ties and repeated rows
+    (4, None, "a"), (5, "", "b"), (6, " \n\t ", "b"), (None, PROSE + PROSE[::-1], "b"), (None, None, None), (None, None, None),
+    (7, LONG, "a"), (8, MAIL, "c"), (8, MAIL + " more", "c"), (9, "Released under the MIT License.\nGeneral Public License", ""),
+    (10, "\U0001f600 café K naïve   \x0b x\x85y", "c"), (11, "a\nb\n\na\n", "c"), (12, "one two three", "c"),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark, tmp_path_factory):
+    rows = [(i, t, "en" if i else None, s, None if t is None else len(t), *["x" if k in (0, 4, 5, 8, 9, 10) else None for k in range(13)]) for i, t, s in TEXTS]
+    place = str(tmp_path_factory.mktemp("edge") / "documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(place)
+    return spark.read.parquet(place)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_text(pairs):
+    """A multiset of (id, anything made from the text)."""
+    return Counter(pairs)
+
+
+def test_sharding(edge, empty):
+    out = sharding.shard_documents(edge, 4).collect()
+    assert by_text((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == by_text((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in TEXTS)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) <= set(range(4)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_documents(empty, 4).collect() == []
+
+
+def test_packing(edge, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    ids = [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [0], dtype="<u4")) for i, x, _ in TEXTS]
+    out = packing.pack_documents(edge, tokenizer("byte_bpe_50k.json"), 1024, 0).collect()
+    assert sum(r["length"] for r in out) == sum(len(x) for _, x in ids)
+    parts = defaultdict(list)
+    for r in out:
+        assert any(d == r["doc_id"] and len(x) == r["doc_tokens"] and zlib.crc32(x[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for d, x in ids)
+        parts[r["sequence_id"]].append((r["offset"], r["length"]))
+    for p in parts.values():
+        at = 0
+        for o, n in sorted(p):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert by_text((r["doc_id"], r["doc_tokens"]) for r in out if r["start"] == 0) == by_text((d, len(x)) for d, x in ids)
+    assert packing.pack_documents(empty, tokenizer("byte_bpe_50k.json")).collect() == []
+
+
+def test_mixing(edge, empty):
+    out = mixing.mix_sources(edge).collect()
+    n = lambda t: len((t or "").encode().split())
+    assert by_text((r["doc_id"], r["size"]) for r in out) == by_text((i, n(t)) for i, t, _ in TEXTS)
+    assert all(0 <= r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] for r in out)
+    sizes = {s: sum(n(t) for _, t, x in TEXTS if x == s) for _, _, s in TEXTS}
+    assert {r["source_size"] for r in out} == set(sizes.values())
+    kept = mixing.mix_sources(edge, keep=True)
+    assert kept.columns == edge.columns and sum(n(r["text"]) for r in kept.collect()) > 0
+    assert mixing.mix_sources(empty).collect() == [] and mixing.mix_sources(empty, keep=True).collect() == []
+
+
+def test_licences(edge, empty):
+    out = licences.scan_licences(edge).collect()
+    assert by_text((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in out) == by_text((i, *licence_base(t or "")) for i, t, _ in TEXTS)
+    assert all(0 <= r["score"] <= 1 for r in out) and licences.scan_licences(empty).collect() == []
+
+
+def test_warc(spark, empty):
+    pages = [(1, "u", "<p>"), (2, None, "<p>"), (2, "u", "<p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>"), (None, "x\ny", "only"), (5, "u", "<b>" * 700_000), (6, "u", "é\U0001f600")]
+    df = spark.createDataFrame([(*p, "c", 1) for p in pages], "page_id long, url string, html string, path string, refers_to int")
+    out = warc.round_trip(df).collect()
+    first = {}
+    for i, _, h in pages:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    assert by_text((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out) == by_text(
+        (i, len((h or "").encode()), "response" if (f := first.get(h or "")) is None or f == i else "revisit", None if f is None or f == i else f) for i, _, h in pages)
+    assert warc.round_trip(df.limit(0)).collect() == []
+
+
+def test_broken_archives(spark):
+    import io
+
+    good = warc.record(1, "u", b"payload", None, False)
+    assert next(warc.records(io.BytesIO(good)))[0]["WARC-Type"] == "response"
+    import gzip
+
+    bad = gzip.compress(gzip.decompress(good).replace(b"payload", b"pAyload"))
+    for b in (bad, good[:-9]):
+        with pytest.raises(warc.Broken):
+            list(warc.records(io.BytesIO(b)))
+
+
+def test_simhash(edge, empty):
+    out = simhash.near_duplicates(edge).collect()
+    fps = [(i, fingerprint(t or "")) for i, t, _ in TEXTS]
+    least = {}
+    for a, f in fps:  # few fingerprints here are near each other without being equal: close transitively
+        reach, grown = {f}, True
+        while grown:
+            more = {g for _, g in fps if any((g ^ r).bit_count() <= 4 for r in reach)}
+            grown, reach = more != reach and not more <= reach, reach | more
+        least[f] = min((i for i, g in fps if g in reach and i is not None), default=None)
+    assert by_text((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out) == by_text((i, f"{f:016x}", least[f]) for i, f in fps)
+    kept = simhash.keep_one(edge)
+    assert kept.columns == edge.columns
+    assert len(kept.collect()) == len(set(least.values()))
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def test_neighbours(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [1e-300, 1e-300]), (None, [1.0, 1.0]), (100, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, v string, id int")
+    out = [tuple(r) for r in ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect()]
+    assert [x[:3] for x in out] == [(0, 1, 1), (0, 2, 2), (0, 3, 9), (50, 1, 9), (50, 2, 0), (50, 3, 1)] and out[0][3] == 1.0
+    assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0, 3).collect() == []
+    assert ann.nearest_neighbours(df.where("vec_id in (3, 4)"), F.col("vec_id") % 50 == 0, 3).collect() == []
+
+
+def test_token_files(edge, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    out = sorted(token_files.round_trip(edge, tokenizer("word_bpe_49k.json")).collect(), key=lambda r: r["start"])
+    ids = [(i, np.array(t.encode(x or "", add_special_tokens=False).ids + [2], dtype="<u4")) for i, x, _ in TEXTS]
+    assert by_text((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out) == by_text((i, len(x), zlib.crc32(x)) for i, x in ids)
+    at, last = 0, -1
+    for r in out:
+        assert r["start"] == at and (r["doc_id"] if r["doc_id"] is not None else -1) >= last
+        at, last = at + r["n_tokens"], r["doc_id"] if r["doc_id"] is not None else -1
+    assert token_files.round_trip(empty, tokenizer("word_bpe_49k.json")).collect() == []
+
+
+def test_personal_data(edge, empty):
+    out = pii.find_personal_data(edge).collect()
+    want = []
+    for i, t, _ in TEXTS:
+        counts, spans = personal(t or "")
+        want.append((i, *counts, hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert by_text(tuple(r)[:6] for r in out) == by_text(want)
+    clean = pii.redact(edge)
+    assert clean.columns == edge.columns
+    for r in clean.collect():
+        assert r["text"] is None or sum(personal(r["text"])[0]) == 0
+    assert pii.find_personal_data(empty).collect() == [] and pii.redact(empty).collect() == []
+
+
+def test_quality(edge, empty):
+    out = quality.quality_rules(edge).collect()
+    assert by_text(tuple(r)[:7] for r in out) == by_text((i, *rules(t or "")) for i, t, _ in TEXTS)
+    good = quality.keep_good(edge)
+    assert good.columns == edge.columns and by_text(r["text"] for r in good.collect()) == by_text(t for _, t, _ in TEXTS if not rules(t or "")[5])
+    assert quality.quality_rules(empty).collect() == [] and quality.keep_good(empty).collect() == []
+
+
+def test_boilerplate_lines(spark):
+    """A line in many texts of one host and varied surroundings goes; the same line of another host stays."""
+    own = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(30))
+    rows = [(i, f"{own(i, 0)}\nSubscribe  to our newsletter\n{own(i, 1)}", "h") for i in range(40)] + [(100, f"{own(100, 0)}\nsubscribe to our newsletter", "other"), (101, "\n".join(["subscribe to our newsletter"] + [own(101, 0)]), "h")]
+    rows += [(200 + i, "\n".join(f"{a} shared line number {a} of the footer of every page here" for a in range(5)) + f"\nshort{i}", "h") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r for r in quality.quality_rules(df).collect()}
+    assert all(out[i]["kept"] and out[i]["removed_words"] == 4 for i in range(40)) and out[100]["removed_words"] == 0 and out[101]["kept"]
+    good = {r["doc_id"]: r["text"] for r in quality.keep_good(df).collect()}
+    assert good[3] == f"{own(3, 0)}\n{own(3, 1)}" and "subscribe" in good[100] and "subscribe" not in good[101]
+
+
+def test_stages_on_edges(spark, edge, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (edge, empty):
+            out = stage(spark, df, None)
+            n = out.count()
+            assert (n == 0 if df is empty else n > 0) and (name == "pack" or out.columns == df.columns)
+
+
+def test_numbers_without_gaps(spark):
+    scratch = common.Scratch(spark, "test")
+    df = scratch.save(spark.createDataFrame([(i % 2, 7) for i in range(100)], "g int, v int").repartition(5))
+    out = common.number_rows(df, ["g"], ["v"], 100).collect()
+    assert all(sorted(r["number"] for r in out if r["g"] == g) == list(range(50)) for g in (0, 1))
+
+
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """Slices of hot keys lose no link."""
+    monkeypatch.setattr(simhash, "HOT", 8)
+    rng = np.random.default_rng(1)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 3)]
+    fps = sorted({b ^ sum(1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 4))) for b in base for _ in range(60)})
+    signed = [simhash._signed(f) for f in fps]
+    scratch = common.Scratch(spark, "hot")
+    stars = {r["u"]: r["v"] for r in simhash.linked(scratch.save(spark.createDataFrame([(f,) for f in signed], "fp long")), 4, scratch).collect()}
+    root = {f: f for f in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                x, y = sorted((find(signed[i]), find(simhash._signed(b))))
+                root[y] = x
+    assert {f: stars.get(f, f) for f in signed} == {f: find(f) for f in signed}

@@ -47,6 +47,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns as one struct column `row`, so that none clashes with a name used beside it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def field(name: str) -> Column:
+    return F.col(f"row.`{name}`")
+
+
+def unboxed(df: DataFrame, columns: list[str], replaced: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `row`, some replaced."""
+    return df.select(*[(replaced or {}).get(c, field(c)).alias(c) for c in columns])
+
+
 def words_in(text: Column) -> Column:
     """Number of words; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zedweave.llm.common import ROWS_PER_BUCKET, Scratch, words_in
+from zedweave.llm.common import ROWS_PER_BUCKET, Scratch, field, unboxed, words_in
+
 
 def quality_weight(text: Column) -> Column:
     """A weight from 0.1 to 1: the share of words that begin with a letter, damped for very short texts."""
@@ -41,7 +42,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
     """Mixes all documents: how often each one is taken so that each source meets its target.
 
     Returns doc_id, size (words), source_size, target, copies, taken (copies * size), or with keep=True
-    the columns of docs and copies, one row per input row; docs must read alike twice.
+    the rows of docs, each as often as it is taken; docs must read alike twice.
 
     A source first takes its whole documents floor(target / size) times; the rest is sampled without
     replacement with inclusion by quality weight: the key is -ln(u) / weight, u a hash of id, text and
@@ -87,12 +88,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
                         .join(best, F.col("_s").eqNullSafe(F.col("_s3")), "left").drop("_s3", "_s4"))
     if keep:
         taken = (F.col("_key") <= F.col("_end")) | (F.col("_h") == F.col("_best_h"))
-        own = docs.withColumns({"_h": h, "_key": key})
-        on = F.col(source_col).eqNullSafe(F.col("_s"))
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("_h"), key.alias("_key"))
+        on = field(source_col).eqNullSafe(F.col("_s"))
     else:
         taken = (F.col("_in") == 1) | (F.col("_row") == F.col("_best"))
         own, on = own.select("doc_id", "source", "size", "_h", "_key", "_row", "_in"), F.col("source").eqNullSafe(F.col("_s"))
     out = own.join(ends, on).withColumn("copies", F.least(F.col("_epochs") + F.coalesce(taken.cast("long"), F.lit(0)), F.lit(int(most))).cast("long"))
     if keep:
-        return out.select(*docs.columns, "copies")
+        out = out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+        return unboxed(out, docs.columns)
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zedweave.llm.common import WORD, Scratch
+from zedweave.llm.common import WORD, Scratch, boxed, field, unboxed
 
 #: A line is boilerplate of a host if at least LEAST_TEXTS distinct texts and SHARE of the host's hold it, in
 #: surroundings that differ: it follows at least VARIED times as many distinct lines as there are such texts.
@@ -93,12 +93,12 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     judged = _judged(slim.select("host", "text1", "text2", "line_words", "base_failed").distinct(), _removed(slim, scratch))
     # documents that stay as they are, the most, needn't be listed
     changed = scratch.save(judged.where(~F.col("kept") | F.col("lines").isNotNull()).select(F.col("host").alias("_ho"), F.col("text1").alias("_t1"), F.col("text2").alias("_t2"), "kept", F.col("lines").alias("_lines")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumns({"_k0": F.xxhash64(F.col(host_col)), "_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
+    text = F.coalesce(field(text_col), F.lit(""))
+    out = boxed(docs).select("row", F.xxhash64(field(host_col)).alias("_k0"), F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2"))
     out = out.join(changed, (F.col("_k0") == F.col("_ho")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left").where(F.coalesce(F.col("kept"), F.lit(True)))
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~x.rlike(_HAS_WORD) | ~F.array_contains("_lines", line_hash(x))), "\n")
-    columns = {text_col: F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(rest)}
-    out = out.withColumns(columns)
+    rest = F.array_join(F.filter(F.split(field(text_col), "\n", -1), lambda x: ~x.rlike(_HAS_WORD) | ~F.array_contains("_lines", line_hash(x))), "\n")
+    same, new = F.col("_lines").isNull(), {}
+    new[text_col] = F.when(same, field(text_col)).otherwise(rest)
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_lines").isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+        new[chars_col] = F.when(same, field(chars_col)).otherwise(F.length(rest)).cast(docs.schema[chars_col].dataType)
+    return unboxed(out, docs.columns, new)

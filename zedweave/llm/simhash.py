@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zedweave.llm.common import Scratch
+from zedweave.llm.common import Scratch, boxed, field, unboxed
 from zedweave.llm.tokens import texts
 
 #: Expected fingerprints of a key; more keys of more bits are taken as fingerprints grow in number.
@@ -117,8 +117,11 @@ def trie_components(group: np.ndarray, fps: np.ndarray, budget: int) -> np.ndarr
 
 def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """(fp, root of its component in this task) of all rows that aren't their own root."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
+    parts = list(batches)
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
+    if not table.num_rows:
         return
     k, key, cell, fp = (table.column(i).to_numpy() for i in range(4))
     fp = fp.view(np.uint64)
@@ -221,8 +224,9 @@ def keep_one(docs: DataFrame, budget: int = 4, words: int = 4, id_col: str = "do
     own = found.join(many, F.col("_g") == F.col("_g1"))
     is_first = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
     goes = scratch.save(own.where(~is_first).select(F.col("doc_id").alias("_di"), F.col("text_hash").alias("_dh")))
-    out = docs.withColumn("_th", F.xxhash64(F.col(text_col))).join(goes, F.col(id_col).cast("long").eqNullSafe(F.col("_di")) & (F.col("_th") == F.col("_dh")), "left_anti")
+    out = boxed(docs).select("row", field(id_col).cast("long").alias("_id"), F.xxhash64(field(text_col)).alias("_th"))
+    out = out.join(goes, F.col("_id").eqNullSafe(F.col("_di")) & (F.col("_th") == F.col("_dh")), "left_anti")
     again = own.where(is_first).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
     if again:  # rows repeat as a whole
-        out = out.dropDuplicates([id_col, "_th"])
-    return out.drop("_th")
+        out = out.dropDuplicates(["_id", "_th"])
+    return unboxed(out, docs.columns)
