@@ -134,22 +134,60 @@ def _leaves(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "vid", "ids", "v"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int) -> Iterator[pa.RecordBatch]:
+def bundles(held_by: dict[int, int]) -> dict[int, int]:
+    """A number for each leaf: leaves that follow one another in the tree share one while they hold CELL vectors together."""
+    out, bundle, held = {}, 0, 0
+    for leaf in sorted(held_by):
+        if held and held + held_by[leaf] > CELL:
+            bundle, held = bundle + 1, 0
+        held += held_by[leaf]
+        out[leaf] = bundle
+    return out
+
+
+def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, bundle_of: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """A row for each query and bundle that it visits, with the leaves that it visits there."""
     for b in batches:
         for k in range(0, b.num_rows, 256):
             part = b.slice(k, 256)
-            d = tree.distances(unit(matrix(part.column(1))))
-            leaves = [tree.visits(x, most) for x in d]
-            rows = np.repeat(np.arange(part.num_rows), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([pa.array([y for x in leaves for y in x], pa.int32()), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))], ["leaf", "qid", "q"])
+            rows, numbers, leaves = [], [], []
+            for i, d in enumerate(tree.distances(unit(matrix(part.column(1))))):
+                by: dict[int, list[int]] = {}
+                for leaf in tree.visits(d, most):
+                    if leaf in bundle_of:
+                        by.setdefault(bundle_of[leaf], []).append(leaf)
+                rows += [i] * len(by)
+                numbers += by
+                leaves += by.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.list_(pa.int32()))], ["bundle", "qid", "q", "leaves"])
 
 
 def _cell(x: pa.Table, q: pa.Table, k: int) -> pa.Table:
+    """The k best vectors of each query among the cell's vectors in leaves that it visits; ties go to the smallest id."""
     names = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
     if not x.num_rows or not q.num_rows:
         return names.empty_table()
-    i, j, score = best_of(matrix(q["q"]), matrix(x["v"]), k)
-    return pa.Table.from_arrays([q["qid"].take(pa.array(i)).combine_chunks(), x["vid"].take(pa.array(j)).combine_chunks(), x["ids"].take(pa.array(j)).combine_chunks(), pa.array(score)], schema=names)
+    vectors, queries = matrix(x["v"]), matrix(q["q"])
+    leaf, asked = x["leaf"].to_numpy(), q["leaves"].combine_chunks()
+    wanted, of = asked.flatten().to_numpy(), np.repeat(np.arange(q.num_rows), np.diff(asked.offsets.to_numpy()))
+    found = []
+    for one in np.unique(leaf).tolist():
+        at, by = np.flatnonzero(leaf == one), of[wanted == one]
+        if len(by):
+            i, j, score = best_of(queries[by], vectors[at], k)
+            found.append((by[i], at[j], score))
+    if not found:
+        return names.empty_table()
+    i, j, score = (np.concatenate(c) for c in zip(*found))
+    ids = x["ids"].combine_chunks()
+    least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+    order = np.lexsort((least[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+    i, j, score = (c[rank < k] for c in (i, j, score))
+    return pa.Table.from_arrays([q["qid"].combine_chunks().take(pa.array(i)), x["vid"].combine_chunks().take(pa.array(j)), ids.take(pa.array(j)), pa.array(score)], schema=names)
 
 
 def _brute(batches: Iterator[pa.RecordBatch], tree: Tree, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -174,6 +212,7 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 5, recall: f
     The tree is fitted on a bounded sample (SAMPLE); every row is indexed. A query visits the leaves of a priority queue
     in order of their centroids' nearness; their number is widened until, for CALIBRATE queries against all rows, the
     share of true neighbours whose leaf is visited reaches `recall`.
+    Leaves are searched by bundles of neighbouring ones, and each task returns a query's best of its bundle only.
     Equal vectors are searched once, with the ids that can count. Rows with a null id or a vector that is null, zero,
     or holds null or non-finite components take no part, nor do vectors of another length than the
     most frequent one (ties: the shortest). Repeated rows (id and vector) count once; a repeated id with different
@@ -205,13 +244,18 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 5, recall: f
         if needed:
             most = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]
     index = scratch.save(vectors.mapInArrow(lambda b: _leaves(b, tree), "leaf int, vid long, ids array<long>, v " + dict(vectors.dtypes)["v"]))
-    visits = scratch.save(queries.mapInArrow(lambda b: _visits(b, tree, most), "leaf int, qid long, q " + dict(queries.dtypes)["q"]))
-    count = lambda df: {r["leaf"]: r["n"] for r in df.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  a row for each leaf
-    held_by, asked_of = count(index), count(visits)
-    parts = spark.createDataFrame([(leaf, max(1, -(-m // CELL)), -(-asked_of[leaf] // CELL_QUERIES)) for leaf, m in held_by.items() if leaf in asked_of], "l int, xs int, qs int")
+    count = lambda df, c: {r[c]: r["n"] for r in df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  a row for each leaf or bundle
+    held_by = count(index, "leaf")
+    bundle_of = bundles(held_by)
+    visits = scratch.save(queries.mapInArrow(lambda b: _visits(b, tree, most, bundle_of), "bundle int, qid long, q " + dict(queries.dtypes)["q"] + ", leaves array<int>"))
+    asked_of, held = count(visits, "bundle"), {}
+    for leaf, m in held_by.items():
+        held[bundle_of[leaf]] = held.get(bundle_of[leaf], 0) + m
+    parts = spark.createDataFrame([(leaf, b, max(1, -(-held[b] // CELL)), -(-asked_of[b] // CELL_QUERIES)) for leaf, b in bundle_of.items() if b in asked_of], "l int, b int, xs int, qs int")
     index = index.join(F.broadcast(parts), F.col("leaf") == F.col("l")).withColumn("x", F.pmod(F.xxhash64("vid"), F.col("xs")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    visits = visits.join(F.broadcast(parts), F.col("leaf") == F.col("l")).withColumn("y", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-    cells = index.select("leaf", "x", "y", "vid", "ids", "v").groupBy("leaf", "x", "y").cogroup(visits.select("leaf", "x", "y", "qid", "q").groupBy("leaf", "x", "y"))
+    sizes = parts.select(F.col("b").alias("c"), "xs", "qs").distinct()
+    visits = visits.join(F.broadcast(sizes), F.col("bundle") == F.col("c")).withColumn("y", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    cells = index.select("b", "x", "y", "leaf", "vid", "ids", "v").groupBy("b", "x", "y").cogroup(visits.select("c", "x", "y", "qid", "q", "leaves").groupBy("c", "x", "y"))
     found = cells.applyInArrow(lambda a, b: _cell(a, b, k + 1), "qid long, vid long, ids array<long>, score double")
     found = found.select("qid", F.explode("ids").alias("vec_id"), "score")
     by_query = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
