@@ -23,8 +23,8 @@ def running_weights(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class _KeyedReduce(StatefulProcessor):
-    def __init__(self, keys: list[str], row: T.StructType, out: T.StructType, fn: Callable):
-        self.keys, self.row, self.made, self.fn = keys, row, out, fn
+    def __init__(self, columns: list[str], keys: list[str], row: T.StructType, out: T.StructType, fn: Callable):
+        self.columns, self.keys, self.row, self.made, self.fn = columns, keys, row, out, fn
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         weight = T.StructType([T.StructField("w", T.LongType())])
@@ -34,6 +34,7 @@ class _KeyedReduce(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self.row.names
         for part in rows:
+            part = part.set_axis(self.columns, axis=1)  # names with a leading underscore arrive changed
             for r in part.to_dict("records"):
                 x = tuple(r[n] for n in names)
                 w = int(r["_w"]) + (self.rows.getValue(x)[0] if self.rows.containsKey(x) else 0)
@@ -66,4 +67,4 @@ def keyed_reduce(stream: DataFrame, keys: list[str], fn: Callable, schema: str |
     made = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     row = T.StructType([f for f in stream.schema.fields if f.name not in (*keys, "_w")])
     out = T.StructType([*[stream.schema[k] for k in keys], *made.fields, T.StructField("_w", T.LongType())])
-    return stream.groupBy(*keys).transformWithStateInPandas(_KeyedReduce(keys, row, made, fn), out, "Update", "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(_KeyedReduce(stream.columns, keys, row, made, fn), out, "Update", "None")
