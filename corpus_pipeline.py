@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zedweave.llm import mixing, packing, pii, quality, simhash
+from zedweave.llm import mixing, packing, pii, quality, similar
 from zedweave.llm.common import Scratch
 from zedweave.llm.queries import tokenizer
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies (5-word shingles, Jaccard 0.8 at least) stays."""
+    return similar.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

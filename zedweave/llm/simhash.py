@@ -217,7 +217,11 @@ def keep_one(docs: DataFrame, budget: int = 4, words: int = 4, id_col: str = "do
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = scratch.save(near_duplicates(docs, budget, words, id_col, text_col))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
-    found = found.withColumn("_g", F.xxhash64(group, F.col("component_id").isNull()))
+    return first_of_each(docs, found.withColumn("_g", F.xxhash64(group, F.col("component_id").isNull())), scratch, id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """docs without all but the first row of each group; found: doc_id, text_hash and group _g of each row."""
     key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     first = scratch.save(found.groupBy("_g").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n")).select(F.col("_g").alias("_g1"), F.col("k.i").alias("_i"), F.col("k.h").alias("_h"), "n"))
     many = first.where("n > 1")

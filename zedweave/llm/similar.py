@@ -1,0 +1,103 @@
+"""Near copies by Jaccard similarity of word shingles: min-hash bands propose pairs, the texts decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zedweave.llm.common import Scratch
+from zedweave.llm.simhash import components, first_of_each
+
+#: Two texts are near copies if their sets of WORDS-word shingles have at least SIMILAR / 100 of their union in common.
+WORDS, SIMILAR = 5, 80
+#: A pair at 0.8 agrees in no band with probability (1 - 0.8 ** HASHES) ** BANDS, 0.00005.
+BANDS, HASHES = 25, 5
+
+_RNG = np.random.default_rng(42)
+_XOR, _ODD = (_RNG.integers(0, 1 << 64, (BANDS * HASHES, 1), dtype=np.uint64) | np.uint64(k) for k in (0, 1))
+
+
+def shingles(text: str, words: int = WORDS) -> set[bytes]:
+    """Of a text of fewer words, the whole; case and white space don't count."""
+    w = text.encode().lower().split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) > words else {b" ".join(w)}
+
+
+def _bands(own: set[bytes]) -> list[int]:
+    x = np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own))
+    low = np.full(BANDS * HASHES, (1 << 64) - 1, dtype=np.uint64)
+    for k in range(0, len(x), 2048):
+        np.minimum(low, ((x[k : k + 2048] ^ _XOR) * _ODD).min(axis=1), out=low)
+    return [xxhash.xxh64_intdigest(b.tobytes()) for b in low.reshape(BANDS, HASHES)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, keys = [], []
+        for t in batch.column(1).to_pylist():
+            own = shingles(t)
+            n.append(len(own))
+            keys.append(np.array(_bands(own), dtype=np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["t", "n", "keys"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = shingles(a), shingles(b)
+            both = len(a & b)
+            ok.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs: texts `t` (hash), `text`. A saved table (u, v): v is the smallest member of u's component, u isn't.
+
+    First each text of a bucket is held against the bucket's smallest, then against all others of the bucket that
+    aren't in its component yet: links within a component join nothing, so large groups of copies don't make squares.
+    Only texts that share a bucket are shuffled.
+    """
+    sketch = scratch.save(docs.mapInArrow(_sketches, "t long, n long, keys array<long>"))
+    sketch = sketch.groupBy("t").agg(F.min("n").alias("n"), F.first("keys").alias("keys"))  # copies count once
+    keyed = sketch.select("t", "n", F.posexplode("keys").alias("k", "key"))
+    many = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("m")).where("c > 1")
+    many = scratch.save(many.select(F.col("k").alias("_k"), F.col("key").alias("_key"), "m"))
+    keyed = scratch.save(keyed.join(many, (F.col("k") == F.col("_k")) & (F.col("key") == F.col("_key"))).select("k", "key", "t", "n", "m"))
+    some = scratch.save(keyed.select(F.col("t").alias("_t")).distinct())
+    own = scratch.save(docs.join(some, F.col("t") == F.col("_t"), "left_semi").groupBy("t").agg(F.first("text").alias("text")))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left, right = own.select(F.col("t").alias("_t1"), F.col("text").alias("a")), own.select(F.col("t").alias("_t2"), F.col("text").alias("b"))
+        found = pairs.join(left, F.col("u") == F.col("_t1")).join(right, F.col("v") == F.col("_t2")).select("u", "v", "a", "b")
+        return scratch.save(found.mapInArrow(_alike, "u long, v long"))
+
+    tried = scratch.save(keyed.where("t <> m").select(F.col("t").alias("u"), F.col("m").alias("v")).distinct())
+    stars = components(checked(tried), scratch)
+    named = scratch.save(keyed.join(stars, F.col("t") == F.col("u"), "left").select("k", "key", "t", "n", F.coalesce("v", "t").alias("r")))
+    mixed = named.groupBy("k", "key").agg(F.min("r").alias("r1"), F.max("r").alias("r2")).where("r1 <> r2").select(F.col("k").alias("_k"), F.col("key").alias("_key"))
+    left = named.join(mixed, (F.col("k") == F.col("_k")) & (F.col("key") == F.col("_key"))).select("k", "key", F.col("t").alias("u"), F.col("n").alias("nu"), F.col("r").alias("ru"))
+    right = named.select(F.col("k").alias("_k2"), F.col("key").alias("_key2"), F.col("t").alias("v"), F.col("n").alias("nv"), F.col("r").alias("rv"))
+    pairs = left.join(right, (F.col("k") == F.col("_k2")) & (F.col("key") == F.col("_key2")) & (F.col("u") > F.col("v")) & (F.col("ru") != F.col("rv")))
+    pairs = pairs.where(100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv")).select("u", "v").distinct()
+    more = checked(scratch.save(pairs.join(tried.select(F.col("u").alias("_u"), F.col("v").alias("_v")), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")))
+    return components(scratch.save(stars.unionAll(more).distinct()), scratch)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each component of near copies; which one stays as in simhash.keep_one.
+
+    Null texts are empty, and texts without words are near copies of each other. Null ids, repeated ids and repeated
+    rows are allowed; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), text.alias("text"))
+    stars = linked(slim.select(F.col("text_hash").alias("t"), "text"), scratch)
+    found = slim.drop("text").join(stars, F.col("text_hash") == F.col("u"), "left").select("doc_id", "text_hash", F.coalesce("v", "text_hash").alias("_g"))
+    return first_of_each(docs, scratch.save(found), scratch, id_col, text_col)
