@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from zedweave.llm.common import WORD, Scratch, boxed, field, unboxed
 
-#: A line is boilerplate of a host if at least LEAST_TEXTS distinct texts and SHARE of the host's hold it, in
-#: surroundings that differ: it follows at least VARIED times as many distinct lines as there are such texts.
-LEAST_TEXTS, SHARE, VARIED = 20, 0.001, 0.5
+#: A line is boilerplate of a host if at least LEAST_TEXTS distinct texts and SHARE of the host's hold it.
+LEAST_TEXTS, SHARE = 20, 0.001
 #: A document is depleted if its boilerplate has more than this share of the words of its distinct lines.
 DEPLETED = 0.8
 
@@ -42,23 +41,21 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     covered = F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
                           lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).cast("long").alias("n"), i.alias("last")), lambda a: a["n"])
     d = d.withColumn("n_repeat_words", F.coalesce(F.when(F.col("marked").isNotNull(), covered), F.lit(0)).cast("long")).drop("marked")
-    # distinct lines, each with the line before its first occurrence
-    follow = F.sort_array(F.transform("ls", lambda x, i: F.struct(x["h"].alias("h"), i.alias("i"), x["w"].alias("w"), F.coalesce(F.get("ls", i - 1)["h"], F.lit(0).cast("long")).alias("before"))))
-    d = d.withColumn("ls", follow)
-    first = F.filter("ls", lambda x, k: F.coalesce(F.get("ls", k - 1)["h"] != x["h"], F.lit(True)))
-    d = d.withColumn("ls", F.transform(first, lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w"), x["before"].alias("before"))))
+    # distinct lines
+    d = d.withColumn("ls", F.sort_array("ls"))
+    d = d.withColumn("ls", F.filter("ls", lambda x, k: F.coalesce(F.get("ls", k - 1)["h"] != x["h"], F.lit(True))))
     d = d.withColumn("line_words", F.aggregate("ls", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def _removed(slim: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, text1, text2, gone, lines): words and hashes of the boilerplate lines of each distinct text that has any."""
-    own = slim.select("host", "text1", "text2", F.explode("ls").alias("l")).select("host", F.col("l.h").alias("h"), F.col("l.before").alias("before"), "text1", "text2", F.col("l.w").alias("w"))
-    own = scratch.save(own.groupBy("host", "h", "before", "text1", "text2").agg(F.max("w").alias("w")))  # copies count once
+    own = slim.select("host", "text1", "text2", F.explode("ls").alias("l")).select("host", F.col("l.h").alias("h"), "text1", "text2", F.col("l.w").alias("w"))
+    own = scratch.save(own.groupBy("host", "h", "text1", "text2").agg(F.max("w").alias("w")))  # copies count once
     hosts = slim.groupBy("host", "text1", "text2").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     hosts = scratch.save(hosts.select(F.col("host").alias("_ho"), "texts"))
-    lines = own.groupBy("host", "h", "before").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= LEAST_TEXTS)
-    lines = lines.join(hosts, F.col("host") == F.col("_ho")).where((F.col("n") >= SHARE * F.col("texts")) & (F.col("kinds") >= VARIED * F.col("n")))
+    lines = own.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    lines = lines.join(hosts, F.col("host") == F.col("_ho")).where(F.col("n") >= SHARE * F.col("texts"))
     lines = scratch.save(lines.select(F.col("host").alias("_lh"), F.col("h").alias("_h")))
     gone = own.join(lines, (F.col("host") == F.col("_lh")) & (F.col("h") == F.col("_h")))
     gone = gone.groupBy("host", "text1", "text2").agg(F.sum("w").alias("gone"), F.collect_set("h").alias("lines"))
@@ -74,8 +71,8 @@ def _judged(df: DataFrame, gone: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row for each document: its measures, base_failed, removed_words and kept.
 
-    Lines are hashed normalised, and the distinct texts that hold a line are counted by host (exact copies are one text;
-    near copies, whose lines follow the same lines, don't make boilerplate). Lines above the limits are removed, and
+    Lines are hashed normalised, and the distinct texts that hold a line are counted by host (exact copies are one text,
+    near copies are several). Lines above the limits are removed, and
     documents that consist of such lines but for a fifth are rejected, as are those that fail the base rules.
     A null text is empty and fails; null is a host of its own; ids may be null or repeat; repeated rows give equal
     rows; an empty table gives an empty result. Whole texts are read; columns of other names are ignored.
