@@ -42,8 +42,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: Words of notices that aren't looked up.
 STOP = frozenset("a and any are as by can for in into is it of or the this to use under with without you".split())
 
-#: A notice is indexed by its RARE words of highest IDF, and a file looked up by its LOOKUPS of highest IDF among indexed ones.
-RARE, LOOKUPS = 6, 16
+#: A notice is indexed by its RARE words of highest IDF, and a file looked up by all its indexed words.
+RARE = 6
 #: Indexed words that must stand in one alignment (all, for notices that have fewer).
 AGREE = 2
 
@@ -71,12 +71,12 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each document: n_words, base places, base_labels, labels and score.
 
     The document frequency of each licence word is counted over all documents; the index holds, by word, the
-    notices and positions of their rarest words. A file's rarest indexed words propose alignments (notice, start); one
+    notices and positions of their rarest words. A file's indexed words propose alignments (notice, start); one
     in which enough of them agree and all words of the mandatory key phrases stand in their places gives the notice's label.
     score is the largest share of a notice's words that stand in place, over such alignments, 1 if there is a base
     place but no such alignment, else 0. Words of one alignment are counted in one sorted pass, so time grows with the
     text. Null and empty texts have no words; ids may be null or repeat; repeated rows give equal rows; of
-    equally rare words the first by code point counts; an empty table gives an empty result. Other columns are ignored.
+    a notice's equally rare words the first by code point is indexed; an empty table gives an empty result. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "licence")
     notices = _notices(TEMPLATES if templates is None else templates)
@@ -89,19 +89,15 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total, df = slim.count(), {r["w"]: r["n"] for r in seen}
     idf = {w: math.log((total + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
     postings: dict[str, list] = {}
-    indexed = set()
     for t, n in enumerate(notices):
         rare = set(sorted({w for _, w in n["words"]}, key=lambda w: (-idf[w], w))[:RARE])
         n["need"] = min(AGREE, sum(w in rare for _, w in n["words"]))
-        indexed |= rare
         for p, w in n["words"]:
             postings.setdefault(w, []).append((t, p, p in n["key"], w in rare))
     if not postings:
         postings = {"": []}
     entry = lambda q: F.struct(F.lit(q[0] * _TEMPLATE + _SHIFT - q[1]).cast("long").alias("e"), F.lit(int(q[2])).alias("key"), F.lit(int(q[3])).alias("rare"))
     index = _map({w: F.array(*[entry(q) for q in qs]) for w, qs in postings.items()})
-    order = {w: i for i, w in enumerate(sorted(indexed, key=lambda w: (-idf[w], w)))}
-    rank = _map({w: F.lit(i) for w, i in order.items()}) if order else _map({"": F.lit(0)})
 
     # base places: all phrases end in the same word
     def place(x, k):
@@ -116,10 +112,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out
 
     places = F.filter(F.transform("hits", place), lambda x: x.isNotNull())
-    top = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda x: rank[x["w"]]), lambda r: r.isNotNull())))
-    s = slim.select("doc_id", "n_words", "hits", places.alias("places"), F.slice(top, 1, LOOKUPS).alias("top"))
+    s = slim.select("doc_id", "n_words", "hits", places.alias("places"))
     entries = F.flatten(F.transform("hits", lambda x: F.transform(F.coalesce(index[x["w"]], F.array().cast("array<struct<e:bigint,key:int,rare:int>>")), lambda q: F.struct(
-        (q["e"] + x["i"]).alias("e"), q["key"].alias("key"), F.when(F.array_contains("top", rank[x["w"]]), q["rare"]).otherwise(0).alias("rare")))))
+        (q["e"] + x["i"]).alias("e"), q["key"].alias("key"), q["rare"].alias("rare")))))
     s = s.select("doc_id", "n_words", "places", F.sort_array(entries).alias("entries"))
     of = lambda values, e: F.element_at(F.array(*[F.lit(v) for v in values or [1]]), F.floor(e / _TEMPLATE).cast("int") + 1)
     needs, keys, sizes = [n["need"] for n in notices], [len(n["key"]) for n in notices], [len(n["words"]) for n in notices]
