@@ -37,6 +37,8 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deals all documents into `shards` shards of nearly equal bytes, tokens and rows; equal texts stay together.
 
+    Groups below 1/64 of a shard are hashed into 8192 bundles, whatever their number, and placed by bundle.
+
     Returns id, size (UTF-8 bytes plus 1), tokens (words), text_crc32, shard, slot (gapless from 0 within
     the shard). A group of equal texts that exceeds a whole shard in some dimension is split by the hash
     of its ids into parts of an eighth of a shard. Nulls: a null text has size 1, 0 tokens and the CRC of
