@@ -4,24 +4,51 @@ from __future__ import annotations
 
 import getpass
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where it is unset a local folder, if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or "file://" + os.path.join(tempfile.gettempdir(), f"zedweave-{getpass.getuser()}")).rstrip("/")
 
 
+_watching: list[list[Store]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Clears the stores that were opened in the block, at its end: for results that have been saved in an earlier one."""
+    opened: list[Store] = []
+    _watching.append(opened)
+    try:
+        yield
+    finally:
+        _watching.pop()
+        for store in opened:
+            store.clear()
+
+
 class Store:
-    """Tables below a folder of this store's own. A saved table has no lineage and survives lost executors."""
+    """Tables below a folder of this store's own, which is deleted when the driver ends, if not before. A saved table has no
+    lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
         self.places: dict[int, str] = {}
+        at, store = self._on_store(self.path)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        if _watching:
+            _watching[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -41,6 +68,10 @@ class Store:
         self._delete(self.path)
         self.places.clear()
 
-    def _delete(self, at: str) -> None:
+    def _on_store(self, at: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, at: str) -> None:
+        path, store = self._on_store(at)
+        store.delete(path, True)
