@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import getpass
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zedweave.plans.store import Store as Scratch
+from zedweave.plans.store import temporary
+
+__all__ = ["ROWS_PER_BUCKET", "WORD", "Scratch", "boxed", "field", "number_rows", "temporary", "unboxed", "words_in"]
+
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,36 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BUCKET = 250_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"zedweave-{getpass.getuser()}")
-    return base.rstrip("/")
-
-
-class Scratch:
-    """A folder of this call's intermediate tables below shared_folder()."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """df, written and read again: its lineage is cut, and it survives lost executors."""
-        self.n += 1
-        at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        out._zedweave_path = at
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a saved table that nothing reads any longer."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._zedweave_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def boxed(df: DataFrame) -> DataFrame:
     """All columns as one struct column `row`, so that none clashes with a name used beside it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -66,18 +36,19 @@ def words_in(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def number_rows(df: DataFrame, by: list[str], order: list[str], total: int, out: str = "number") -> DataFrame:
+def number_rows(df: DataFrame, by: list[str], order: list[str], salt: str, total: int, out: str = "number") -> DataFrame:
     """Adds a gapless number from 0 within each value of `by`, without bringing such a group to one task.
 
     Rows are dealt over hash buckets, ranked within (by, bucket) and offset by the prefix sums of the
-    buckets' counts. df must be a saved table, so that a task that runs again sees the same rows.
+    buckets' counts. df must be a saved table, so that a task that runs again sees the same rows; salt, a
+    column stored in it, tells apart rows that agree in `order`, so that many of these fill many buckets.
     """
     n = max(64, -(-total // ROWS_PER_BUCKET))
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(n)))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order, salt), F.lit(n)))
     counts = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1)
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order, salt)) - 1)
     on = F.col("_b") == F.col("_bb")
     for c in by:
         on = on & (F.col(c) == F.col(f"_by_{c}"))

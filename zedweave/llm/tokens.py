@@ -53,7 +53,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]  # a text that holds one isn't split
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.table = byte_table()
@@ -61,7 +62,7 @@ class Encoder:
         pre = str(self.tokenizer.pre_tokenizer)
         if kind is None:
             kind = "word" if "'t|" in pre and "</w>" in str(self.tokenizer.model.end_of_word_suffix) else "byte" if "ByteLevel" in pre else "other"
-        self.kind = kind
+        self.kind = "other" if any(t.normalized for t in added) else kind
         self.cache = _Cache(self.unit)
 
     def whole(self, text: str) -> bytes:
@@ -81,7 +82,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         byte = self.kind == "byte"
-        if self.kind == "other" or not plain(text, byte):
+        if self.kind == "other" or any(a in text for a in self.added) or not plain(text, byte):
             return self.whole(text)
         units = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if byte else text.split()
         return b"".join(map(self.cache.__getitem__, units))
