@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zedweave.llm.common import ROWS_PER_BUCKET, Scratch, field, unboxed, words_in
+from zedweave.llm.common import ROWS_PER_BUCKET, Scratch, unboxed, words_in
 
 
 def quality_weight(text: Column) -> Column:
@@ -42,25 +42,26 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
     """Mixes all documents: how often each one is taken so that each source meets its target.
 
     Returns doc_id, size (words), source_size, target, copies, taken (copies * size), or with keep=True
-    the rows of docs, each as often as it is taken; docs must read alike twice.
+    the rows of docs, each as often as it is taken; these are saved once, with their keys.
 
     A source first takes its whole documents floor(target / size) times; the rest is sampled without
     replacement with inclusion by quality weight: the key is -ln(u) / weight, u a hash of id, text and
     seed; keys are sorted within the source and documents taken while the sum of their sizes stays within the
     budget; last, one more document, the one whose size is nearest to what remains, if it comes nearer.
     Nulls: a null text has size 0; null is a source of its own and the last; a null or nonpositive weight counts as
-    0.001; ids may be null. Equal keys (repeated rows) are ordered by id and text hash, and rows alike in
-    all of these are interchangeable. Empty table: empty result. Columns of other names are ignored.
+    0.001; ids may be null. Rows of equal keys (repeated rows) are ordered by a number saved with them and taken one by one,
+    so that they meet the target like others; they are interchangeable. Empty table: empty result. Columns of other names
+    are ignored, or returned as they are. Sources are ranked in one task: they may be many thousands, not as many as documents.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col(text_col)
     quality = quality_weight(text) if quality is None else quality
     weight = F.when(quality > 0, quality).otherwise(F.lit(0.001)).cast("double")
-    h = F.xxhash64(F.col(id_col), text, F.lit(seed))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(2**53))
-    key = -F.log(u) / weight
-    slim = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text).alias("size"), h.alias("_h"),
-                                    key.alias("_key"), F.monotonically_increasing_id().alias("_row")))
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    base = scratch.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(text).alias("size"), (-F.log(u) / weight).alias("_key"),
+                                    F.monotonically_increasing_id().alias("_row"), *own))
+    slim = base.drop("row")
     sources = scratch.save(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     plan = sources.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     plan = plan.withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_epochs") * F.col("source_size")))
@@ -72,28 +73,21 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: f
     sums = slim.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s2"), F.col("_slice").alias("_l2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_slice").orderBy("_key", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "_slice").orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = slim.withColumn("_upto", F.sum("size").over(inside))
     own = own.join(sums, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_slice") == F.col("_l2")))
     own = own.withColumn("_upto", F.col("_upto") + F.col("_base")).drop("_s2", "_l2", "_base", "_slice")
     own = own.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    own = scratch.save(own.withColumn("_in", (F.col("_upto") <= F.col("_rest")).cast("int")))
-    ends = own.groupBy("source").agg(F.max("_rest").alias("_rest"), F.sum(F.col("_in") * F.col("size")).alias("_sum"), F.max(F.when(F.col("_in") == 1, F.col("_key"))).alias("_end"))
-    ends = scratch.save(ends.select(F.col("source").alias("_s"), (F.col("_rest") - F.col("_sum")).alias("_gap"), "_end"))
-    left = own.where("_in = 0").join(ends, F.col("source").eqNullSafe(F.col("_s")))
-    best = left.groupBy("source").agg(F.max("_gap").alias("_gap"), F.min(F.struct(
-        F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_key").alias("k"), F.col("_row").alias("r"), F.col("_h").alias("h"))).alias("_m"))
-    best = best.where(F.col("_m.d") < F.col("_gap")).select(F.col("source").alias("_s3"), F.col("_m.r").alias("_best"), F.col("_m.h").alias("_best_h"))
-    ends = scratch.save(plan.join(ends.withColumnRenamed("_s", "_s4"), F.col("_s").eqNullSafe(F.col("_s4")), "left")
-                        .join(best, F.col("_s").eqNullSafe(F.col("_s3")), "left").drop("_s3", "_s4"))
-    if keep:
-        taken = (F.col("_key") <= F.col("_end")) | (F.col("_h") == F.col("_best_h"))
-        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), h.alias("_h"), key.alias("_key"))
-        on = field(source_col).eqNullSafe(F.col("_s"))
-    else:
-        taken = (F.col("_in") == 1) | (F.col("_row") == F.col("_best"))
-        own, on = own.select("doc_id", "source", "size", "_h", "_key", "_row", "_in"), F.col("source").eqNullSafe(F.col("_s"))
-    out = own.join(ends, on).withColumn("copies", F.least(F.col("_epochs") + F.coalesce(taken.cast("long"), F.lit(0)), F.lit(int(most))).cast("long"))
+    at = F.struct("_key", "_row")
+    own = scratch.save(own.select("source", "size", at.alias("_at"), "_rest", (F.col("_upto") <= F.col("_rest")).alias("_in")))
+    ends = own.groupBy("source").agg(F.max("_rest").alias("_rest"), F.sum(F.when(F.col("_in"), F.col("size")).otherwise(0)).alias("_sum"), F.max(F.when(F.col("_in"), F.col("_at"))).alias("_end"))
+    ends = scratch.save(ends.select(F.col("source").alias("_s4"), (F.col("_rest") - F.col("_sum")).alias("_gap"), "_end"))
+    left = own.where(~F.col("_in")).join(ends, F.col("source").eqNullSafe(F.col("_s4")))
+    best = left.groupBy("source").agg(F.max("_gap").alias("_gap"), F.min(F.struct(F.abs(F.col("_gap") - F.col("size")).alias("d"), F.col("_at").alias("at"))).alias("_m"))
+    best = best.where(F.col("_m.d") < F.col("_gap")).select(F.col("source").alias("_s3"), F.col("_m.at").alias("_best"))
+    ends = scratch.save(plan.join(ends, F.col("_s").eqNullSafe(F.col("_s4")), "left").join(best, F.col("_s").eqNullSafe(F.col("_s3")), "left").drop("_s3", "_s4"))
+    taken = F.coalesce((at <= F.col("_end")) | F.coalesce(at == F.col("_best"), F.lit(False)), at == F.col("_best"), F.lit(False))
+    out = base.join(ends, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.least(F.col("_epochs") + taken.cast("long"), F.lit(int(most))).cast("long"))
     if keep:
         out = out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
         return unboxed(out, docs.columns)
