@@ -17,13 +17,14 @@ from zedweave.llm.common import Scratch
 
 #: Payload bytes after which a task begins another archive, so that reading can be dealt out.
 ARCHIVE_BYTES = 64 << 20
-CHUNK = 1 << 20
+#: Bytes read of a stream at a time, those of them inflated at a time, and of the longest header.
+CHUNK, SLICE, HEADER = 1 << 20, 1 << 14, 1 << 24
 
 ARCHIVES = "path string, n_records long, n_bytes long"
 ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def digest(payload: bytes) -> str:
+def digest(payload: bytes | bytearray | memoryview) -> str:
     """Bare upper-case base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -37,7 +38,11 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload)}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c not in "%\x85  " else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
+        # header fields are lines: what would end one, and the ends that readers strip, are escaped
+        line = "".join(c if c.isprintable() and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+        head.append(f"WARC-Target-URI: {line}")
+        if line != url:
+            head.append("X-Target-URI-Base64: " + base64.b64encode(url.encode()).decode())
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     head.append(f"Content-Length: {len(block)}")
@@ -49,42 +54,74 @@ class Broken(ValueError):
     """An archive that doesn't hold what its records declare."""
 
 
-def members(stream) -> Iterator[bytes]:
-    """The contents of each gzip member of a stream, inflated as chunks arrive; one member is in memory at a time."""
-    z, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        b = rest or stream.read(CHUNK)
-        if not b:
-            if parts or z.unconsumed_tail:
+class Members:
+    """The gzip members of a stream in sequence, inflated piece by piece. Holds a chunk of the stream, and of a member
+    what is asked for."""
+
+    def __init__(self, stream):
+        self.stream, self.raw, self.at, self.z = stream, b"", 0, None
+
+    def _filled(self) -> bool:
+        if self.at >= len(self.raw):
+            self.raw, self.at = self.stream.read(CHUNK), 0
+        return self.at < len(self.raw)
+
+    def next(self) -> bool:
+        """Goes to the next member, if there is one."""
+        self.z = zlib.decompressobj(31) if self._filled() else None
+        return self.z is not None
+
+    def read(self, most: int) -> bytes:
+        """At most so many inflated bytes of this member, none at its end."""
+        out = b""
+        while not out and not self.z.eof:
+            if not self._filled():
                 raise Broken("the last member has no end")
-            return
-        parts.append(z.decompress(b))
-        rest = b""
-        if z.eof:
-            rest = z.unused_data
-            yield b"".join(parts)
-            z, parts = zlib.decompressobj(31), []
+            # small slices, since zlib copies what it leaves of each
+            piece = self.raw[self.at : self.at + SLICE]
+            out = self.z.decompress(piece, most)
+            self.at += len(piece) - len(self.z.unused_data if self.z.eof else self.z.unconsumed_tail)
+        return out
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record; lengths, block digests and payload digests are verified."""
-    for b in members(stream):
-        head, found, rest = b.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        if not found or not lines[0].startswith("WARC/"):
+    """Header fields and block of each record; lengths, block digests and payload digests are verified.
+
+    Of a member no more is inflated than a header of HEADER bytes at most and the length that it declares.
+    """
+    members = Members(stream)
+    while members.next():
+        b, end = bytearray(), -1
+        while (end := b.find(b"\r\n\r\n")) < 0:
+            if len(b) > HEADER or not (more := members.read(SLICE)):
+                raise Broken("a member doesn't begin with a record's header")
+            b += more
+        lines = b[:end].decode().split("\r\n")
+        if not lines[0].startswith("WARC/"):
             raise Broken("a member doesn't begin with a record's header")
         fields = dict(x.split(": ", 1) for x in lines[1:])
         n = int(fields["Content-Length"])
-        if rest[n:] != b"\r\n\r\n":
+        del b[: end + 4]
+        while len(b) < n + 5 and (more := members.read(min(CHUNK, n + 5 - len(b)))):
+            b += more
+        if b[n:] != b"\r\n\r\n":
             raise Broken("the content's length isn't the declared one")
-        block = rest[:n]
-        if fields["WARC-Block-Digest"] != f"sha1:{digest(block)}":
+        del b[n:]
+        if fields["WARC-Block-Digest"] != f"sha1:{digest(b)}":
             raise Broken("the block's digest isn't the declared one")
         if fields["WARC-Type"] == "response":
-            payload = block.partition(b"\r\n\r\n")[2]
+            payload = memoryview(b)[b.find(b"\r\n\r\n") + 4 :]
             if fields["WARC-Payload-Digest"] != f"sha1:{digest(payload)}" or int(fields["X-Payload-Length"]) != len(payload):
                 raise Broken("the payload isn't the declared one")
-        yield fields, block
+            payload.release()
+        yield fields, bytes(b)
+
+
+def target_uri(fields: dict[str, str]) -> str | None:
+    """The URL that was archived."""
+    if own := fields.get("X-Target-URI-Base64"):
+        return base64.b64decode(own).decode()
+    return fields.get("WARC-Target-URI")
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -118,12 +155,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     scratch = Scratch(pages.sparkSession, "warc-first")
     html = F.coalesce(F.col(html_col), F.lit(""))
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    # only payloads that repeat are looked up, a small table as a rule; digests alone are shuffled for it
-    first = scratch.save(slim.groupBy(F.unhex(F.sha1("html")).alias("_d"), F.octet_length("html").alias("_n")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
-                         .where((F.col("_c") > 1) & (F.col("_n") >= least)).select("_d", "_first"))
-    rows = slim.withColumn("_k", F.unhex(F.sha1("html"))).join(first, F.col("_k") == F.col("_d"), "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    rows = rows.select("page_id", "url", "html", F.when(revisit, F.col("_first")).alias("refers_to"), revisit.alias("revisit"))
+    # digests find the revisits, without the payloads; these meet the few that revisit by id and digest, so that no payload is a hot key
+    digests = scratch.save(slim.select("page_id", F.unhex(F.sha1("html")).alias("d"), F.octet_length("html").alias("n")))
+    first = digests.where(F.col("n") >= least).groupBy(F.col("d").alias("_d")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    first = scratch.save(first.where((F.col("_c") > 1) & F.col("_first").isNotNull()).select("_d", "_first"))
+    ids = digests.groupBy("page_id", "d").agg(F.count(F.lit(1)).alias("_c"))  # a payload's rows are many ids
+    again = ids.join(first, F.col("d") == F.col("_d")).where(~F.col("page_id").eqNullSafe(F.col("_first")))
+    again = scratch.save(again.select(F.col("page_id").alias("_page"), "_d", "_first"))
+    rows = slim.withColumn("_k", F.unhex(F.sha1("html"))).join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_k") == F.col("_d")), "left")
+    rows = rows.select("page_id", "url", "html", F.col("_first").alias("refers_to"), F.col("_first").isNotNull().alias("revisit"))
     return rows.mapInArrow(lambda b: _write(b, folder), ARCHIVES)
 
 
@@ -140,7 +180,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, n = [], 0
             for fields, _ in records(files.open_read(a["path"])):
                 n += 1
-                rows.append((_page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"],
+                rows.append((_page(fields["WARC-Record-ID"]), target_uri(fields), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"],
                              _page(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None))
                 if len(rows) == 10_000:
                     yield make(rows)
@@ -152,7 +192,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
+    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
+
+    archives (path, n_records; other columns are ignored) must be saved. Null ids and URLs come back as null; repeated rows
+    are records of their own; no archives give no rows. An archive that doesn't hold what it declares fails with Broken.
+    """
     return archives.repartition(max(1, archives.count())).mapInArrow(_read, ROWS)
 
 
