@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from zedweave.llm.tokens import texts
 
 #: Kinds in the order of spans; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "account", "secret", "ssn", "url")
+KINDS = ("email", "ip", "card", "phone", "account", "secret", "ssn", "url", "local_phone", "key")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORDLIKE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -28,9 +28,18 @@ _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1
 _SECRET = re.compile(r"[\"']?\s?[:=]\s?[\"']?([A-Za-z0-9_+/=.-]{8,})")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]*:[^\s/@]+@[A-Za-z0-9.-]+[^\s\"'<>]*")
 _RUN = re.compile(r"[0-9]+")
+_LOCAL_PHONE = re.compile(r"\(?([2-9][0-9]{2})(?:\)\x20?|[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
+_PEM = re.compile(r"[A-Z0-9\x20]{0,40}PRIVATE KEY-----")
+
+#: Prefixes of issued keys, and how they go on.
+_KEYS = {
+    "AKIA": r"[A-Z0-9]{16}(?![A-Za-z0-9])", "ASIA": r"[A-Z0-9]{16}(?![A-Za-z0-9])", "ghp_": r"[A-Za-z0-9]{36,}", "gho_": r"[A-Za-z0-9]{36,}", "ghs_": r"[A-Za-z0-9]{36,}", "github_pat_": r"[A-Za-z0-9_]{22,}",
+    "glpat-": r"[A-Za-z0-9_-]{20,}", "xoxb-": r"[A-Za-z0-9-]{10,}", "xoxp-": r"[A-Za-z0-9-]{10,}", "sk_live_": r"[A-Za-z0-9]{16,}", "AIza": r"[A-Za-z0-9_-]{35}", "eyJ": r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
+}
+_KEY = {k: re.compile(v) for k, v in _KEYS.items()}
 
 #: Cues of identifiers; those in lower case are found in either case.
-_SECRETS = ("password", "passwd", "api_key", "apikey", "api-key", "secret_key", "access_token", "auth_token", "client_secret")
+_SECRETS = ("password", "passwd", "api_key", "apikey", "api-key", "secret_key", "access_token", "auth_token", "client_secret", "token", "secret")
 _IBANS = ("AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IT", "LT", "LU", "LV", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK")
 
 
@@ -41,6 +50,9 @@ def automaton() -> ahocorasick.Automaton:
     for s in _SECRETS:
         for k in (s, s.upper(), s.capitalize()):
             a.add_word(k, ("secret", len(k)))
+    for s in _KEYS:
+        a.add_word(s, ("key", len(s)))
+    a.add_word("-----BEGIN ", ("pem", 11))
     for s in _IBANS:
         for d in range(10):
             a.add_word(f"{s}{d}", ("iban", 3))
@@ -79,7 +91,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     if not _AUTOMATON:
         _AUTOMATON.append(automaton())
     out: dict[str, list[tuple[int, int]]] = {}
-    email = ip = card = phone = run = other = 0  # where each kind may begin
+    email = ip = card = phone = run = other = local = key = 0  # where each kind may begin
     for end, (kind, n) in _AUTOMATON[0].iter(text):
         p = end - n + 1
         if kind == "digit":
@@ -92,6 +104,10 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 ip = m.end()
                 if is_ip(m[0]):
                     out.setdefault("ip", []).append(m.span())
+            if run - p == 3 and p >= local and (not p or text[p - 1] not in _WORDLIKE and text[p - 1] not in "+-.") and (m := _LOCAL_PHONE.match(text, p - (text[p - 1 : p] == "("))):
+                local = m.end()
+                if p >= phone:  # else it is part of a longer one
+                    out.setdefault("local_phone", []).append(m.span())
             if p < card or run - p < 2 and not (nxt[:1] in " -" and nxt[1:].isdigit() and nxt[1:].isascii()):
                 continue
             m = _CARD.match(text, p)
@@ -119,6 +135,14 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if m := _SECRET.match(text, end + 1):
                 if any(c.isdigit() for c in m[1]) and m.start(1) >= (out["secret"][-1][1] if "secret" in out else 0):
                     out.setdefault("secret", []).append(m.span(1))
+        elif kind == "key":
+            if p >= key and (not p or text[p - 1] not in _WORDLIKE) and (m := _KEY[text[p : end + 1]].match(text, end + 1)):
+                key = m.end()
+                out.setdefault("key", []).append((p, key))
+        elif kind == "pem":
+            if p >= key and (m := _PEM.match(text, end + 1)) and (at := text.find("-----END ", m.end(), m.end() + 20_000)) >= 0 and (m := _PEM.match(text, at + 9)):
+                key = m.end()
+                out.setdefault("key", []).append((p, key))
         elif kind == "iban":
             if (not p or text[p - 1] not in _WORDLIKE) and (m := _IBAN.match(text, p)):
                 s = m[0]
@@ -174,13 +198,15 @@ def _redact(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _clean(text: Column) -> Column:
-    # annotations are read as names here, which the decorator can't resolve
-    _redact.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(_redact, "string")(text)
+    return F.pandas_udf(_redact, "string", F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with marks in place of personal data, the length column kept in step; null texts stay null."""
+    """docs with marks in place of personal data, the length column kept in step.
+
+    Null texts stay null, empty ones empty, and texts without findings as they are. Repeated rows give equal rows; ids aren't
+    looked at; columns of other names, null or not, are returned as they are. Empty table: empty result.
+    """
     out = docs.withColumn(text_col, _clean(F.col(text_col)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNull(), F.col(chars_col)).otherwise(F.length(text_col)).cast(docs.schema[chars_col].dataType))
