@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from zedweave.llm.common import WORD, Scratch, boxed, field, unboxed
 
-#: A line is boilerplate of a host if at least LEAST_TEXTS distinct texts and SHARE of the host's hold it.
-LEAST_TEXTS, SHARE = 20, 0.001
+#: A line is boilerplate of a host if so many of its distinct texts hold it, whatever their number.
+LEAST_TEXTS = 20
 #: A document is depleted if its boilerplate has more than this share of the words of its distinct lines.
 DEPLETED = 0.8
 
@@ -52,10 +52,7 @@ def _removed(slim: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, text1, text2, gone, lines): words and hashes of the boilerplate lines of each distinct text that has any."""
     own = slim.select("host", "text1", "text2", F.explode("ls").alias("l")).select("host", F.col("l.h").alias("h"), "text1", "text2", F.col("l.w").alias("w"))
     own = scratch.save(own.groupBy("host", "h", "text1", "text2").agg(F.max("w").alias("w")))  # copies count once
-    hosts = slim.groupBy("host", "text1", "text2").agg(F.count(F.lit(1)).alias("n")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    hosts = scratch.save(hosts.select(F.col("host").alias("_ho"), "texts"))
     lines = own.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    lines = lines.join(hosts, F.col("host") == F.col("_ho")).where(F.col("n") >= SHARE * F.col("texts"))
     lines = scratch.save(lines.select(F.col("host").alias("_lh"), F.col("h").alias("_h")))
     gone = own.join(lines, (F.col("host") == F.col("_lh")) & (F.col("h") == F.col("_h")))
     gone = gone.groupBy("host", "text1", "text2").agg(F.sum("w").alias("gone"), F.collect_set("h").alias("lines"))
@@ -84,7 +81,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """The documents that quality_rules keeps, without their boilerplate lines; all columns of docs, lengths kept in step."""
+    """The documents that quality_rules keeps, without their boilerplate lines; all columns of docs, lengths kept in step.
+
+    Null and empty texts fail and go. Nulls in other columns, repeated ids and columns of any name are returned as
+    they are, repeated rows as often as they stand; texts without boilerplate aren't touched. Empty table: empty result.
+    """
     scratch = Scratch(docs.sparkSession, "keep-good")
     slim = scratch.save(_measured(docs, id_col, text_col, host_col))
     judged = _judged(slim.select("host", "text1", "text2", "line_words", "base_failed").distinct(), _removed(slim, scratch))
