@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from tests.llm.test_brute import SF, WORD, fingerprint, personal, rules
+from tests.llm.test_brute import SF, WORD, personal, rules
+from tests.llm.test_similar import components
 from zedweave.llm import mixing, quality
 from zedweave.llm.common import Scratch
 from zedweave.llm.queries import tokenizer
@@ -31,21 +32,9 @@ def test_stages(spark):
         assert all(x in lines for x in r["text"].split("\n")) and (r["n_chars"] == len(r["text"]) or r["text"] == first[d]["text"])
 
     # near copies: the smallest id of each component stays
-    fp = {d: fingerprint(r["text"]) for d, r in one.items()}
-    root = {d: d for d in fp}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in fp:
-        for b in fp:
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 4:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
+    find = components({d: r["text"] for d, r in one.items()})
     two = {r["doc_id"]: r for r in rows["near-dedup"]}
-    assert two.keys() == {find(d) for d in fp} and all(two[d] == one[d] for d in two)
+    assert two.keys() == set(find.values()) and all(two[d] == one[d] for d in two)
 
     # personal data: none of the base kinds is left, and texts without any anchor stay
     three = {r["doc_id"]: r for r in rows["personal data"]}

@@ -4,7 +4,7 @@ import corpus_pipeline
 from tests.llm.test_brute import SF, fingerprint
 from zedweave.llm import quality
 from zedweave.llm.common import Scratch
-from zedweave.llm.similar import shingles
+from zedweave.llm.simhash import shingles
 
 
 def alike(a, b):
@@ -54,3 +54,38 @@ def test_chains_and_edge_of_the_rule(spark):
     want = sorted(rows[k][0] for k in set(components(texts).values()))
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), None).collect()
     assert sorted(r["doc_id"] for r in out) == want == [1, 4, 5, 7, 8]
+
+
+def test_large_families(spark, monkeypatch):
+    """Families of copies whose keys are hot, some of whose members are too far from each other; by all pairs."""
+    import random
+
+    from zedweave.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 16)
+    r, texts = random.Random(3), {}
+    for f in range(4):
+        base = [f"f{f}w{r.randrange(2000)}" for _ in range(120)]
+        for _ in range(60):
+            own = list(base)
+            for k in range(r.choice((0, 1, 2, 3))):
+                own[r.randrange(120)] = f"e{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(own)
+    for _ in range(200):
+        texts[len(texts)] = " ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(20, 60)))
+    want = set(components(texts).values())
+    out = simhash.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {x["doc_id"] for x in out} == want and 200 < len(want) < 300
+
+
+def test_equal_fingerprints():
+    """Rows of equal fingerprints in one group are pairs too, in both forms of the join."""
+    import numpy as np
+
+    from zedweave.llm import trie
+
+    fps = np.array([[1, 2], [1, 2], [1, 2], [1, 3], [9, 0]], dtype=np.uint64)
+    group = np.zeros(5, dtype=int)
+    pairs = {tuple(sorted(x)) for a, b in trie.close_pairs(group, fps, 1, np.arange(5)) for x in zip(a.tolist(), b.tolist())}
+    assert pairs == {(0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3)}
+    assert trie.forest(group, fps, 1)[0].tolist() == [0, 0, 0, 0, 4]
