@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zedweave.llm import trie
 from zedweave.llm.common import Scratch, boxed, field, unboxed
 from zedweave.llm.tokens import texts
 
@@ -18,10 +20,14 @@ from zedweave.llm.tokens import texts
 PER_KEY = 256
 #: Keys with more fingerprints than this are cut into slices, and each pair of slices is a task's.
 HOT = 16_384
-#: Fingerprints of a task of the self-join, and pairs of trie nodes that it holds at once.
-PER_TASK, PAIRS = 100_000, 1 << 18
+#: Fingerprints of a task of the self-join.
+PER_TASK = 100_000
 
-_BITS = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+#: near_copies: shingles of WORDS words; SIMILAR / 100 of two texts' distinct shingles in common; 64-bit lanes of a fingerprint.
+WORDS, SIMILAR, LANES = 5, 80, 4
+#: Expected standard deviations of the differing bits above their mean at that similarity that the budget allows, the share of such
+#: pairs that may agree in no key, and keys of the first round.
+DEVIATIONS, MISSED, FIRST = 3, 0.005, 2
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -45,93 +51,29 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
-def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of differing bits of unsigned 64-bit integers."""
-    x = a ^ b
-    return sum(_BITS[((x >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.intp)].astype(np.int16) for s in (0, 16, 32, 48))
-
-
-def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The roots (smallest members) after the edges a-b are added to components given by their roots."""
-    while True:
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            return parent
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (up := parent[parent]).tobytes() != parent.tobytes():
-            parent = up
-
-
-def trie_components(group: np.ndarray, fps: np.ndarray, budget: int) -> np.ndarray:
-    """Roots of the components of "same group, at most `budget` differing bits"; sorted by (group, fps), no repeats.
-
-    A node of a group's binary trie is a range of the sorted fingerprints. Pairs of nodes of equal depth
-    are traversed together from (root, root); a pair's children are the pairs of their children, the
-    differing bit of an unlike pair is counted, and a pair over the budget is dropped. So is a pair
-    whose leaves are all known to be of one component: its links join nothing. Pairs wait on a stack in lots,
-    so memory stays bounded.
-    """
-    n = len(fps)
-    parent = np.arange(n)
-    if n < 2:
-        return parent
-    near = np.flatnonzero((group[1:] == group[:-1]) & (differing(fps[1:], fps[:-1]) <= budget))
-    parent = joined(parent, near, near + 1)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    ends = np.r_[starts[1:], n]
-    many = ends - starts > 1
-    lo, hi = starts[many].astype(np.int32), ends[many].astype(np.int32)
-    ones: dict[int, np.ndarray] = {}
-    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int8))]
-    while stack:
-        depth, alo, ahi, blo, bhi, err = stack.pop()
-        if len(alo) > PAIRS:
-            for k in range(0, len(alo), PAIRS):
-                stack.append((depth, *(x[k : k + PAIRS] for x in (alo, ahi, blo, bhi, err))))
-            continue
-        changes = np.r_[0, np.cumsum(parent[1:] != parent[:-1])].astype(np.int32)
-        alike = (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1] == changes[blo]) & (parent[alo] == parent[blo])
-        leaves = (ahi - alo == 1) & (bhi - blo == 1)
-        if (at := np.flatnonzero(leaves & ~alike)).size:
-            a, b = alo[at], blo[at]
-            close = differing(fps[a], fps[b]) <= budget
-            parent = joined(parent, a[close], b[close])
-        go = ~(leaves | alike)
-        if not go.any() or depth == 64:
-            continue
-        alo, ahi, blo, bhi, err = (x[go] for x in (alo, ahi, blo, bhi, err))
-        if depth not in ones:
-            ones[depth] = np.r_[0, np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1))].astype(np.int32)
-        c = ones[depth]
-        amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
-        same = alo == blo  # nodes of equal depth are the same or disjoint
-        kids = []
-        for (pl, ph), (ql, qh), more, keep in (((alo, amid), (blo, bmid), 0, True), ((amid, ahi), (bmid, bhi), 0, True), ((alo, amid), (bmid, bhi), 1, True), ((amid, ahi), (blo, bmid), 1, ~same)):
-            ok = (ph > pl) & (qh > ql) & (err + more <= budget) & keep & ~((pl == ql) & (ph - pl == 1))
-            kids.append((pl[ok], ph[ok], ql[ok], qh[ok], err[ok] + np.int8(more)))
-        stack.append((depth + 1, *(np.concatenate(x) for x in zip(*kids))))
-    return parent
+def _cells(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray] | None:
+    """A task's rows (k, key, cell, fingerprint lanes f0 ..., others), sorted by group and fingerprint; their groups and lanes."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    table = pa.Table.from_batches(parts)
+    fps = np.stack([table[c].to_numpy().view(np.uint64) for c in table.column_names if c[0] == "f"], axis=1)
+    by = [table[c].to_numpy() for c in ("k", "key", "cell")]
+    order = np.lexsort((*fps.T[::-1], *by[::-1]))
+    by = [x[order] for x in by]
+    group = np.cumsum(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in by])])
+    return table.take(pa.array(order)), group, fps[order]
 
 
 def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """(fp, root of its component in this task) of all rows that aren't their own root."""
-    parts = list(batches)
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    if not table.num_rows:
+    if (own := _cells(batches)) is None:
         return
-    k, key, cell, fp = (table.column(i).to_numpy() for i in range(4))
-    fp = fp.view(np.uint64)
-    order = np.lexsort((fp, cell, key, k))
-    k, key, cell, fp = (x[order] for x in (k, key, cell, fp))
-    group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
-    root = trie_components(group, fp, budget)
+    _, group, fps = own
+    root = trie.forest(group, fps, budget)[0]
     at = np.flatnonzero(root != np.arange(len(root)))
     if at.size:
-        pairs = np.unique(np.stack([fp[at].view(np.int64), fp[root[at]].view(np.int64)]), axis=1)
+        pairs = np.unique(np.stack([fps[at, 0].view(np.int64), fps[root[at], 0].view(np.int64)]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
 
@@ -153,20 +95,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def linked(fps: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
-    """fps: distinct `fp`, saved. A saved table (u, v): v is the smallest member of u's component, u isn't."""
-    n = fps.count()
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(n, budget))])).alias("s")).select("s.k", "s.key", "fp")
-    hot = scratch.save(keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("k").alias("_k"), F.col("key").alias("_key"), F.ceil(F.col("n") * 2 / HOT).alias("_s")))
+def dealt(keyed: DataFrame, member: str, n: int, scratch: Scratch) -> DataFrame:
+    """keyed (k, key, member, others; n rows), dealt over tasks so that any two rows of a key meet in one of them.
+
+    The members of a hot key are cut into slices by hash and each pair of slices is a cell; the tasks are counted from
+    the rows of all cells.
+    """
+    hot = scratch.save(keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("k").alias("_k"), F.col("key").alias("_key"), "n", F.ceil(F.col("n") * 2 / HOT).alias("_s")))
+    more = hot.agg(F.sum(F.col("n") * (F.col("_s") - 1)).alias("n")).first()["n"]
     one = F.array(F.lit(0).cast("long"))
-    if hot.head(1):
-        keyed = keyed.join(hot, (F.col("k") == F.col("_k")) & (F.col("key") == F.col("_key")), "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("_s"))
+    if more:
+        keyed = keyed.join(hot.drop("n"), (F.col("k") == F.col("_k")) & (F.col("key") == F.col("_key")), "left")
+        own = F.pmod(F.xxhash64(member), F.col("_s"))
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1), lambda t: F.least(own, t) * F.col("_s") + F.greatest(own, t))
         one = F.when(F.col("_s").isNull(), one).otherwise(cells)
-    cells = keyed.select("k", "key", F.explode(one).alias("cell"), "fp")
-    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(masks(n, budget)) // PER_TASK))
-    edges = cells.repartition(tasks, "k", "key", "cell").mapInArrow(lambda b: _links(b, budget), "u long, v long")
+    cells = keyed.withColumn("cell", F.explode(one)).drop("_k", "_key", "_s")
+    tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n + (more or 0)) // PER_TASK))
+    return cells.repartition(tasks, "k", "key", "cell")
+
+
+def linked(fps: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
+    """fps: distinct `fp`, saved. A saved table (u, v): v is the smallest member of u's component, u isn't."""
+    n = fps.count()
+    own = masks(n, budget)
+    keyed = fps.select(F.col("fp").alias("f0"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(own)])).alias("s")).select("s.k", "s.key", "f0")
+    edges = dealt(keyed, "f0", n * len(own), scratch).mapInArrow(lambda b: _links(b, budget), "u long, v long")
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return components(edges, scratch)
 
@@ -211,13 +164,136 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, id_col: st
     return own.join(named, F.col("fp") == F.col("f")).select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest id stays (null ids last), of
-    equal ids the one with the smallest text hash, and of rows alike in both one."""
+def shingles(text: str, words: int = WORDS) -> set[bytes]:
+    """Of a text of fewer words, the whole; case and white space don't count."""
+    w = text.encode().lower().split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) > words else {b" ".join(w)}
+
+
+def wide_fingerprint(own: set[bytes]) -> bytes:
+    """LANES * 64 bits: a bit is 1 if set in over half the shingles' hashes."""
+    bits = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, seed) for x in own for seed in range(LANES // 2)]), dtype=np.uint8).reshape(len(own), 8 * LANES)
+    counts = np.zeros(64 * LANES, dtype=np.int64)
+    for k in range(0, len(own), 1 << 13):
+        counts += np.unpackbits(bits[k : k + (1 << 13)], axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(own)).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f"f{i}" for i in range(LANES)]
+    for batch in batches:
+        n, prints = [], []
+        for _, t in texts([batch]):
+            own = shingles(t)
+            n.append(len(own))
+            prints.append(wide_fingerprint(own))
+        lanes = np.frombuffer(b"".join(prints), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, LANES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(lanes[:, i].copy()) for i in range(LANES))], ["t", "n", *names])
+
+
+def near_budget() -> int:
+    """Differing bits within which texts of similarity SIMILAR / 100 stay. Two sets of equal size with Jaccard similarity s
+    have the cosine 2s / (1 + s), and a bit differs with the probability of their angle over a half turn."""
+    p = angle()
+    return round(64 * LANES * p + DEVIATIONS * math.sqrt(64 * LANES * p * (1 - p)))
+
+
+def angle() -> float:
+    s = SIMILAR / 100
+    return math.acos(2 * s / (1 + s)) / math.pi
+
+
+def samples(n: int) -> list[np.ndarray]:
+    """Keys of near_copies: sets of bits, so many that a pair at the limit agrees in one of them but for MISSED.
+
+    They have as many bits as make keys rare enough for n fingerprints, and are cut from the bits in random order, so that
+    those of one order share none.
+    """
+    m = min(64, max(8, math.ceil(math.log2(max(n, 1) / PER_KEY))))
+    count = math.ceil(math.log(MISSED) / math.log(1 - (1 - angle()) ** m))
+    rng, out = np.random.default_rng(42), []
+    while len(out) < count:
+        order = rng.permutation(64 * LANES)
+        out += [order[k : k + m] for k in range(0, len(order) - m + 1, m)]
+    return out[:count]
+
+
+def _sampled(bits: np.ndarray) -> Column:
+    """The key of a set of bits: the hash of the lanes with all other bits off."""
+    lanes = {int(b) >> 6 for b in bits}
+    return F.xxhash64(*[F.col(f"f{i}").bitwiseAND(F.lit(_signed(sum(1 << (63 - (int(b) & 63)) for b in bits if int(b) >> 6 == i)))) for i in sorted(lanes)])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], budget: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """(u, v) of rows t whose fingerprints are close: of unlike labels r, all (whole), or else links enough to join them."""
+    if (own := _cells(batches)) is None:
+        return
+    table, group, fps = own
+    t, n = table["t"].to_numpy(), table["n"].to_numpy()
+    lots = trie.close_pairs(group, fps, budget, table["r"].to_numpy()) if whole else [trie.forest(group, fps, budget)[1:]]
+    for a, b in lots:
+        fit = 100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b])
+        if fit.any():
+            u, v = t[a[fit]], t[b[fit]]
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok, left, right = [], batch.column(2), batch.column(3)
+        for i in range(batch.num_rows):
+            a, b = shingles(left[i].as_py()), shingles(right[i].as_py())
+            both = len(a & b)
+            ok.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs: texts `t` (hash), `text`. A saved table (u, v): v is the smallest member of u's component of near copies, u isn't.
+
+    Two texts are near copies if SIMILAR / 100 of their distinct WORDS-word shingles are common. Trie self-joins of
+    SimHash fingerprints, within keys of sampled bits, propose pairs within near_budget(), and the texts decide. First, links
+    enough to join each trie's close fingerprints are looked at, of FIRST keys; then, of all keys, all close pairs of texts
+    that aren't in one component yet: links within a component join nothing, so large groups of copies don't make squares.
+    """
+    sketch = docs.mapInArrow(_sketches, "t long, n long, " + ", ".join(f"f{i} long" for i in range(LANES)))
+    lanes = [f"f{i}" for i in range(LANES)]
+    sketch = scratch.save(sketch.groupBy("t").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]))  # copies count once
+    total, budget = sketch.count(), near_budget()
+    keys = samples(total)
+
+    def checked(some: list[int], labels: DataFrame | None) -> DataFrame:
+        rows, whole = sketch.withColumn("r", F.col("t")), labels is not None
+        if whole:
+            rows = sketch.join(labels, F.col("t") == F.col("u"), "left").withColumn("r", F.coalesce("v", "t")).drop("u", "v")
+        keyed = rows.select("*", F.posexplode(F.array(*[_sampled(keys[i]) for i in some])).alias("k", "key")).select("k", "key", "t", "n", "r", *lanes)
+        pairs = dealt(keyed, "t", total * len(some), scratch).mapInArrow(lambda b: _candidates(b, budget, whole), "u long, v long")
+        pairs = scratch.save(pairs.distinct())
+        both = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
+        own = scratch.save(docs.join(both, F.col("t") == F.col("_t"), "left_semi").groupBy("t").agg(F.first("text").alias("text")))
+        left, right = own.select(F.col("t").alias("_t1"), F.col("text").alias("a")), own.select(F.col("t").alias("_t2"), F.col("text").alias("b"))
+        found = pairs.join(left, F.col("u") == F.col("_t1")).join(right, F.col("v") == F.col("_t2")).select("u", "v", "a", "b")
+        return scratch.save(found.mapInArrow(_alike, "u long, v long"))
+
+    stars = components(checked(list(range(FIRST)), None), scratch)
+    more = checked(list(range(len(keys))), stars)
+    return components(scratch.save(stars.unionAll(more).distinct()), scratch)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each component of near copies (see near_copies): the one with the smallest id
+    stays (null ids last), of equal ids the one with the smallest text hash, and of rows alike in both one.
+
+    Null texts are empty, and texts without words are near copies of each other. Null ids, repeated ids and repeated
+    rows are allowed; columns of any name are returned as they are; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.save(near_duplicates(docs, budget, words, id_col, text_col))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fingerprint")))
-    return first_of_each(docs, found.withColumn("_g", F.xxhash64(group, F.col("component_id").isNull())), scratch, id_col, text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), text.alias("text"))
+    stars = near_copies(slim.select(F.col("text_hash").alias("t"), "text"), scratch)
+    found = slim.drop("text").join(stars, F.col("text_hash") == F.col("u"), "left").select("doc_id", "text_hash", F.coalesce("v", "text_hash").alias("_g"))
+    return first_of_each(docs, scratch.save(found), scratch, id_col, text_col)
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
