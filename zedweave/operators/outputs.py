@@ -15,6 +15,9 @@ if TYPE_CHECKING:
 
 KINDS = ("rows", "ordered", "nested", "mapping")
 
+#: Repeats of a row that are made at a time.
+BLOCK = 1 << 16
+
 
 class Output:
     def __init__(self, build: Builder, node: Node):
@@ -72,8 +75,10 @@ class Arrangement(Output):
         columns = [F.col(f"`{c}`") for c in self.node.columns]
         if self.node.unit:
             return df.select(*columns)
-        n = F.when(F.col("_w") < 0, F.raise_error(F.lit("a row has a negative weight")).cast("int")).otherwise(F.col("_w").cast("int"))
-        return df.select(*columns, F.explode(F.array_repeat(F.lit(0), n)).alias("_i")).drop("_i")
+        n = F.when(F.col("_w") < 0, F.raise_error(F.lit("a row has a negative weight")).cast("bigint")).otherwise(F.col("_w"))
+        # by blocks, so that no row of a large weight becomes one long array
+        df = df.where("_w <> 0").select(*columns, n.alias("_n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / BLOCK))).alias("_b"))
+        return df.select(*columns, F.explode(F.array_repeat(F.lit(0), F.least(F.lit(BLOCK), F.col("_n") - F.col("_b") * BLOCK).cast("int"))).alias("_i")).drop("_i")
 
     def to_dict(self, session: Session) -> dict:
         """For small results: from rows (tuples) to weights."""
@@ -117,7 +122,9 @@ class ReduceOutput(Output):
     def read(self, session: Session) -> DataFrame:
         out = nested(self._frame(session), self.node, self.node.keys)
         dep = self.node.deps[0]
-        held = session.snapshot().frame(dep)
+        if self.node.insertions:  # least, greatest and distinct rows: every group has some
+            return out
+        held = session.maintained(dep)
         keys = (held if dep.positive else consolidated(held, dep.weights)).select(*[F.col(f"`{k}`").alias(f"_r_{k}") for k in self.node.keys]).distinct()
         on = F.lit(True)
         for k in self.node.keys:

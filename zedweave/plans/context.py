@@ -177,6 +177,12 @@ class Session:
             return node.empty()
         return log[0] if len(log) == 1 else consolidated(union(log), node.weights)
 
+    def maintained(self, node: Node) -> DataFrame:
+        """The node's contents as of the last read, perhaps not consolidated: the maintained ones, where its log is kept."""
+        if self._run is not None and (held := self._run.state(node)) is not None:
+            return held
+        return self.snapshot().frame(node)
+
     def targets(self) -> list[Node]:
         return list(dict.fromkeys(o.node for o in self.build.outputs))
 
@@ -196,7 +202,7 @@ class Session:
                 log = self._logs.setdefault(n, [])
                 log.append(d)
                 if len(log) > LONG:
-                    self._logs[n] = [self.store.save(consolidated(union(log), n.weights))]
+                    self._logs[n] = self._run.compacted(log, n)
 
     def read_upto(self) -> int:
         """The last step whose changes nobody needs apart from those before it."""

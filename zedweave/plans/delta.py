@@ -16,18 +16,21 @@ from zedweave.plans.weights import consolidated, union
 
 if TYPE_CHECKING:
     from zedweave.plans.context import Scope
+    from zedweave.plans.fixpoint import Loop
     from zedweave.plans.snapshot import Snapshot
     from zedweave.plans.store import Store
 
-#: Saved changes after which a log is merged.
-LONG = 8
+#: Saved changes after which the newest of a log are merged.
+LONG = 12
 
 
 class DeltaRun:
     """Steps over a root scope (epochs) or an inner scope (rounds of a fixpoint)."""
 
-    def __init__(self, store: Store, targets: list[Node], count: dict[int, int] | None = None):
-        self.store, self.targets, self.counts = store, targets, count
+    def __init__(self, store: Store, targets: list[Node], count: dict[int, int] | None = None, outer: DeltaRun | None = None):
+        self.store, self.targets, self.counts, self.outer = store, targets, count, outer
+        self.entering = True  # whether this round takes in what has changed outside
+        self.loops: dict[Scope, Loop] = {}
         self.last, self.step = -1, -1
         self.logs: dict[Node, list[DataFrame]] = {}
         self.now: dict[Node, Frame] = {}
@@ -41,6 +44,7 @@ class DeltaRun:
         self.growing: set[Node] = set()
         self._moving: dict[Node, bool] = {}
         self.by_output: set[Node] = set()  # reduces of which the output is kept, as long as only insertions come
+        self.reachable = self._reachable()
         self.kept_nodes = self._kept()
 
     def _reachable(self) -> list[Node]:
@@ -69,7 +73,7 @@ class DeltaRun:
             elif isinstance(node, Variable):
                 out = True
             elif isinstance(node, Enter):
-                out = False
+                out = self.outer is not None and self.outer.moving(node.deps[0])
             else:
                 out = any(map(self.moving, self.enters(node.deps[0].scope) if isinstance(node, Leave) else node.deps))
             self._moving[node] = out
@@ -78,7 +82,11 @@ class DeltaRun:
     def _kept(self) -> set[Node]:
         out = set()
         self.asked: set[Node] = set()  # nodes of which other nodes' rules read the log
-        for n in self._reachable():
+        for n in self.reachable:
+            if isinstance(n, Leave):  # what enters its scope is read more than once
+                out.update(d for d in self.enters(n.deps[0].scope) if self.moving(d) and not isinstance(d, Source))
+            if isinstance(n, Enter) and self.moving(n):
+                out.add(n)
             deps = n.stateful()
             for i, d in enumerate(deps):
                 own = isinstance(n, Reduce) or isinstance(n, AntiJoin) and i == 1
@@ -97,12 +105,18 @@ class DeltaRun:
             d = node.delta(self)
             if d is not None and not isinstance(node, Variable):
                 if node in self.kept_nodes or self.counts is not None:
-                    d = self.store.save(consolidated(d, node.weights))
-                if self.counts is not None:
-                    self.counts[node.id] = self.counts.get(node.id, 0) + d.count()
+                    d = self.saved(d, node)
+                if self.counts is not None and d is not None:
+                    self.counts[node.id] = self.counts.get(node.id, 0) + d._zedweave_rows
             self.now[node] = d
         return self.now[node]
 
+    def saved(self, d: DataFrame, node: Node) -> Frame:
+        """d with equal rows merged, saved; None if nothing is left."""
+        if not (isinstance(node, Reduce) and node.unit):  # their rules leave no equal rows
+            d = consolidated(d, node.weights)
+        return self.store.watched(d, "_w" if node.weights.is_integer else None)
+
     def keep(self, node: Node) -> Frame:
         """This step's delta, saved; it is logged from now on if the node moves."""
         d = self.delta(node)
@@ -111,7 +125,7 @@ class DeltaRun:
         if d is not None and node not in self.kept_nodes and self.moving(node):
             self.kept_nodes.add(node)
             if self.counts is None and not isinstance(node, Variable):
-                d = self.now[node] = self.store.save(consolidated(d, node.weights))
+                d = self.now[node] = self.saved(d, node)
         return d
 
     def only_insertions(self, node: Reduce) -> bool:
@@ -125,7 +139,8 @@ class DeltaRun:
         if node in self.by_output:
             self.by_output.discard(node)
             if self.last >= 0 and dep not in self.kept_nodes:
-                self.logs[dep] = [self.store.save(consolidated(self.before.frame(dep), dep.weights))]
+                held = self.store.watched(consolidated(self.before.frame(dep), dep.weights), None)
+                self.logs[dep] = [] if held is None else [held]
                 self.grown[dep] = False
         return False
 
@@ -145,13 +160,19 @@ class DeltaRun:
         return variable in self.growing
 
     def measured(self, node: Node) -> bool:
-        """The sign of a delta found by looking at it."""
-        if node.positive:
-            return True
+        """The sign of what a node holds at the first step."""
+        return node.positive or self.inserts(node)
+
+    def inserts(self, node: Node) -> bool:
+        """The sign of a delta, by its rule or found by looking at it."""
         if not node.weights.is_integer:
             return False
-        least = self.keep(node) if self.moving(node) else self.delta(node)
-        return least.agg(F.coalesce(F.min("_w"), F.lit(1)).alias("w")).first()["w"] > 0
+        d = self.keep(node) if self.moving(node) and not isinstance(node, Source) else self.delta(node)
+        if d is None or self.signs.get(node):
+            return True
+        if not hasattr(d, "_zedweave_least"):
+            return self.grows(node) if isinstance(node, Source) else d.agg(F.coalesce(F.min("_w"), F.lit(1)).alias("w")).first()["w"] > 0
+        return d._zedweave_least is not None and d._zedweave_least > 0
 
     def state(self, node: Node) -> Frame:
         """The relation before this step."""
@@ -166,19 +187,34 @@ class DeltaRun:
         return self.feed.get(variable)
 
     def entered(self, node: Enter) -> Frame:
-        return self.at.outer.frame(node.deps[0]) if self.step == 0 else None
+        if not self.entering:
+            return None
+        return self.at.outer.frame(node.deps[0]) if self.last < 0 or self.outer is None else self.outer.delta(node.deps[0])
+
+    def entered_grows(self, node: Enter) -> bool:
+        if not self.entering:
+            return True
+        return self.last >= 0 and self.outer is not None and self.outer.grows(node.deps[0]) or self.measured(node)
+
+    def left(self, node: Leave) -> Frame:
+        """What a scope's relation changes by in this step."""
+        scope = node.deps[0].scope
+        if not self.scope_changed(scope):
+            return None
+        if self.scope.parent is None:
+            if scope not in self.loops:
+                from zedweave.plans.fixpoint import Loop
+
+                self.loops[scope] = Loop(scope, self, [n.deps[0] for n in self.reachable if isinstance(n, Leave) and n.deps[0].scope is scope])
+            return self.loops[scope].changes(node.deps[0])
+        # inside another scope's rounds: computed afresh and compared with the round before
+        new, old = self.store.save(consolidated(self.at.frame(node), node.weights)), self.results.get(node)
+        self.results[node] = new
+        return new if old is None else consolidated(new.unionByName(old.withColumns(node.weights.negated())), node.weights)
 
     def scope_changed(self, scope: Scope) -> bool:
         return self.last < 0 or any(self.delta(n) is not None for n in self.enters(scope))
 
-    def kept_snapshot(self, node: Leave) -> DataFrame:
-        return self.store.save(consolidated(self.at.frame(node), node.weights))
-
-    def previous(self, node: Leave, new: DataFrame) -> Frame:
-        old = self.results.get(node)
-        self.results[node] = new
-        return old
-
     # steps
 
     def advance(self, step: int, at: Snapshot, before: Snapshot, feed: dict[Variable, Frame] | None = None, growing: set[Node] = frozenset()) -> dict[Node, Frame]:
@@ -189,7 +225,7 @@ class DeltaRun:
         for n in self.targets:
             d = self.delta(n)
             if d is not None and n not in self.kept_nodes and self.counts is None:
-                d = self.store.save(consolidated(d, n.weights))
+                d = self.saved(d, n)
             out[n] = d
         for n in list(self.kept_nodes):
             if isinstance(n, Reduce) and n.insertions and n not in self.by_output and n not in self.asked:
@@ -200,7 +236,7 @@ class DeltaRun:
                 log = self.logs.setdefault(n, [])
                 log.append(d)
                 if len(log) > LONG:
-                    self.logs[n] = [self.merged(log, n)]
+                    self.logs[n] = self.compacted(log, n)
         self.last = step
         return out
 
@@ -209,5 +245,15 @@ class DeltaRun:
         if node in self.grown:
             self.grown[node] = self.had_grown.get(node, False)
 
-    def merged(self, log: list[DataFrame], node: Node) -> DataFrame:
-        return self.store.save(consolidated(union(log), node.weights))
+    def compacted(self, log: list[DataFrame], node: Node) -> list[DataFrame]:
+        """The log with its newest entries merged, as many as aren't much smaller than all after them: so a row
+        is written again a logarithmic number of times, and what is old and large stays."""
+        size = lambda f: getattr(f, "_zedweave_rows", 0)
+        k, held = len(log) - 1, size(log[-1])
+        while k and size(log[k - 1]) <= 2 * held:
+            k -= 1
+            held += size(log[k])
+        if k == len(log) - 1:
+            return log
+        merged = self.store.watched(consolidated(union(log[k:]), node.weights), "_w" if node.weights.is_integer else None)
+        return log[:k] + ([] if merged is None else [merged])

@@ -369,6 +369,8 @@ class Reduce(Node):
         if self.insertions and run.only_insertions(self):
             return self.after_insertions(run.delta(dep), run.state(self), run.has_grown(self))
         d, old = run.keep(dep), run.state(dep)
+        if d is None:
+            return None
         if old is None:
             return self.fn(consolidated(d, dep.weights))
         # one sum gives the touched groups' rows both before and after
@@ -443,7 +445,7 @@ class Enter(Crossing):
         return run.entered(self)
 
     def grows(self, run):
-        return run.step > 0 or run.measured(self)
+        return run.entered_grows(self)
 
 
 class Leave(Crossing):
@@ -458,11 +460,4 @@ class Leave(Crossing):
         return at.fixpoint(self.deps[0].scope).result(self.deps[0])
 
     def delta(self, run):
-        """Computed afresh and compared with the step before."""
-        if not run.scope_changed(self.deps[0].scope):
-            return None
-        new = run.kept_snapshot(self)
-        old = run.previous(self, new)
-        if old is None:
-            return new
-        return consolidated(new.unionByName(old.withColumns(self.weights.negated())), self.weights)
+        return run.left(self)

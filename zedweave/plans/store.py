@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -59,6 +60,18 @@ class Store:
         out._zedweave_keep = self  # the id stays taken as long as the frame lives
         return out
 
+    def watched(self, df: DataFrame, weight: str | None) -> DataFrame | None:
+        """save, or None if df has no rows. The frame knows their number, and the least value of its column `weight`: both are
+        seen by the job that writes it."""
+        seen = Observation()
+        least = F.lit(None).cast("bigint") if weight is None else F.min(weight)
+        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("rows"), least.alias("least")))
+        out._zedweave_rows, out._zedweave_least = seen.get["rows"], seen.get["least"]
+        if out._zedweave_rows:
+            return out
+        self.drop(out)
+        return None
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any longer."""
         if at := self.places.pop(id(df), None):

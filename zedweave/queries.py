@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from zedweave.functions.weights import count_and_sum, sum_by_weight
 from zedweave.operators.relation import Relation
 from zedweave.plans.context import Builder
+from zedweave.sources.frames import stream_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,9 +159,9 @@ def antijoin_on_fst(t: Tables) -> DataFrame:
     return t.read(t.of("customer", "c_custkey", "c_name", unique=True).antijoin_on_fst(t.of("orders", "o_custkey", "o_orderstatus").filter("o_orderstatus = 'P'").map("o_custkey")))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def antijoin_on_snd(t: Tables) -> DataFrame:
-    few = t.of("supplier", "s_suppkey", "s_nationkey").filter("s_suppkey < 10").map("s_nationkey")
+    few = t.of("supplier", "s_acctbal", "s_nationkey").filter("s_acctbal < 0").map("s_nationkey")
     return t.read(t.of("customer", "c_custkey", "c_nationkey", unique=True).antijoin_on_snd(few))
 
 
@@ -198,10 +199,9 @@ def counts(t: Tables) -> DataFrame:
     return t.read(t.of("events", "event_type").counts())
 
 
-@query("""SELECT u.k AS user_id, CAST(count(e.event_id) AS BIGINT) AS cnt FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey < 200) u
-LEFT JOIN events e ON e.user_id = u.k GROUP BY 1""")
+@query("SELECT c_custkey AS user_id, CAST(count(e.event_id) AS BIGINT) AS cnt FROM customer LEFT JOIN events e ON e.user_id = c_custkey GROUP BY 1")
 def histogram(t: Tables) -> DataFrame:
-    users = t.of("customer", "c_custkey", unique=True).filter("c_custkey < 200").rename(c_custkey="user_id")
+    users = t.of("customer", "c_custkey", unique=True).rename(c_custkey="user_id")
     return t.read(t.of("events", "user_id").consolidate().histogram(users))
 
 
@@ -250,15 +250,20 @@ def reduce_python(t: Tables) -> DataFrame:
     return t.read(t.of("customer", "c_nationkey", "c_custkey", unique=True).reduce("c_nationkey", middle, schema="middle BIGINT"))
 
 
-@query("""SELECT xy.x, xy.y, xz.z FROM (SELECT DISTINCT l_suppkey x, l_partkey % 50 y FROM lineitem WHERE l_linenumber = 1) xy
-JOIN (SELECT DISTINCT l_suppkey x, l_orderkey % 50 z FROM lineitem WHERE l_linenumber = 2) xz ON xy.x = xz.x
-JOIN (SELECT DISTINCT l_partkey % 50 y, l_orderkey % 50 z FROM lineitem WHERE l_linenumber = 3) yz ON yz.y = xy.y AND yz.z = xz.z""")
+#: Suppliers, parts and orders of which each two meet in a line.
+_TRIANGLES = """WITH l AS (SELECT * FROM lineitem WHERE {0})
+SELECT xy.x, xy.y, xz.z FROM (SELECT DISTINCT l_suppkey x, l_partkey y FROM l) xy JOIN (SELECT DISTINCT l_partkey y, l_orderkey z FROM l) yz ON yz.y = xy.y
+JOIN (SELECT DISTINCT l_suppkey x, l_orderkey z FROM l) xz ON xy.x = xz.x AND yz.z = xz.z"""
+
+
+def _triangles(items: Relation) -> Relation:
+    xy, xz, yz = items.map(x="l_suppkey", y="l_partkey"), items.map(x="l_suppkey", z="l_orderkey"), items.map(y="l_partkey", z="l_orderkey")
+    return xy.distinct().triangles(xz.distinct(), yz.distinct())
+
+
+@query(_TRIANGLES.format("true"))
 def triangles(t: Tables) -> DataFrame:
-    items = t.of("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    xy = items.filter("l_linenumber = 1").map(x="l_suppkey", y="l_partkey % 50").distinct()
-    xz = items.filter("l_linenumber = 2").map(x="l_suppkey", z="l_orderkey % 50").distinct()
-    yz = items.filter("l_linenumber = 3").map(y="l_partkey % 50", z="l_orderkey % 50").distinct()
-    return t.read(xy.triangles(xz, yz))
+    return t.read(_triangles(t.of("lineitem", "l_orderkey", "l_partkey", "l_suppkey")))
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -306,16 +311,6 @@ def _closure(build: Builder, edges: Relation) -> Relation:
     return body.leave(scope.finish())
 
 
-def _distances(build: Builder, edges: Relation) -> Relation:
-    scope = build.subgraph(tier="n")
-    handle, v = scope.variable("s BIGINT, d BIGINT, n BIGINT")
-    inside = edges.enter(scope)
-    step = v.join(inside.rename(s="m", d="t"), [("d", "m")]).map("s", d="t", n="n + 1")
-    body = inside.with_columns(n="1L").concat(step).group_min(["s", "d"])
-    handle.set(body)
-    return body.leave(scope.finish())
-
-
 @query("""WITH RECURSIVE e AS (SELECT p_partkey s, p_partkey // 2 d FROM part WHERE p_partkey > 0),
 c(s, d) AS (SELECT s, d FROM e UNION SELECT c.s, e.d FROM c JOIN e ON c.d = e.s) SELECT s, d FROM c""")
 def closure_tree(t: Tables) -> DataFrame:
@@ -323,12 +318,34 @@ def closure_tree(t: Tables) -> DataFrame:
     return t.read(_closure(t.build, edges))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey s, l_partkey % 100 d FROM lineitem WHERE l_linenumber = 7 AND l_quantity <= 2),
-c(s, d, n) AS (SELECT s, d, CAST(1 AS BIGINT) FROM e UNION SELECT c.s, e.d, c.n + 1 FROM c JOIN e ON c.d = e.s WHERE c.n < 30)
-SELECT s, d, min(n) AS n FROM c GROUP BY 1, 2""")
+#: Regions, nations, customers, suppliers and orders as the nodes of a graph; its edges go both ways, so that it has many cycles.
+_EDGES = """SELECT n_regionkey AS a, 10 + n_nationkey AS b FROM nation UNION SELECT 10 + c_nationkey, 10000000000 + c_custkey FROM customer
+UNION SELECT 10 + s_nationkey, 20000000000 + s_suppkey FROM supplier UNION SELECT 10000000000 + o_custkey, 30000000000 + o_orderkey FROM orders
+UNION SELECT 20000000000 + l_suppkey, 30000000000 + l_orderkey FROM lineitem"""
+
+
+def _graph(t: Tables) -> Relation:
+    pair = lambda table, a, b, a0, b0, **of: t.of(table, a, b).map(s=f"{a0}L + {a}", d=f"{b0}L + {b}")
+    one = pair("nation", "n_regionkey", "n_nationkey", 0, 10).concat(pair("customer", "c_nationkey", "c_custkey", 10, 10**10)).concat(pair("supplier", "s_nationkey", "s_suppkey", 10, 2 * 10**10))
+    one = one.concat(pair("orders", "o_custkey", "o_orderkey", 10**10, 3 * 10**10)).concat(pair("lineitem", "l_suppkey", "l_orderkey", 2 * 10**10, 3 * 10**10))
+    return one.concat(one.map(s="d", d="s")).distinct()
+
+
+@query(f"""WITH RECURSIVE g AS ({_EDGES}), e AS (SELECT CAST(a AS BIGINT) AS s, CAST(b AS BIGINT) AS d FROM g UNION SELECT b, a FROM g),
+c(s, d, n) USING KEY (s, d) AS (SELECT e.s, e.d, CAST(1 AS BIGINT) FROM e JOIN region ON e.s = r_regionkey
+UNION SELECT c.s, e.d, min(c.n) + 1 FROM c JOIN e ON c.d = e.s WHERE NOT EXISTS (SELECT 1 FROM recurring.c AS r WHERE r.s = c.s AND r.d = e.d) GROUP BY c.s, e.d)
+SELECT s, d, n FROM c""")
 def distances_cyclic(t: Tables) -> DataFrame:
-    items = t.of("lineitem", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity").filter("l_linenumber = 7 and l_quantity <= 2")
-    return t.read(_distances(t.build, items.map(s="l_suppkey", d="l_partkey % 100").distinct()))
+    """The distances of all nodes of a graph of whole tables from each region."""
+    edges, regions = _graph(t), t.of("region", "r_regionkey", unique=True).map(s="cast(r_regionkey as bigint)", injective=True)
+    scope = t.build.subgraph(tier="n")
+    handle, v = scope.variable("s BIGINT, d BIGINT, n BIGINT")
+    inside = edges.enter(scope)
+    start = inside.semijoin(regions.enter(scope), "s").with_columns(n="1L")
+    step = v.join(inside.rename(s="m", d="t"), [("d", "m")]).map("s", d="t", n="n + 1")
+    body = start.concat(step).group_min(["s", "d"])
+    handle.set(body)
+    return t.read(body.leave(scope.finish()))
 
 
 @query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY 1")
@@ -356,21 +373,118 @@ def _in_two_steps(t: Tables, mode: str) -> DataFrame:
     return out.rows(run)
 
 
-@query("SELECT event_type, min(user_id) AS user_id FROM events WHERE event_id % 10 <> 3 GROUP BY 1")
+@query("SELECT event_type, min(user_id) AS user_id FROM events WHERE value >= 5 GROUP BY 1")
 def incremental_min(t: Tables) -> DataFrame:
     """A minimum under retractions."""
     target, events = t.build.create_input("event_id BIGINT, event_type STRING, user_id BIGINT")
-    out = events.map("event_type", "user_id").group_min("event_type").get_arrangement(t.build)
+    out = events.map("event_type", "user_id").group_min("event_type")
+    table = t.frame("events", "event_id", "event_type", "user_id", "value")
+    return _maintained(t, out, [(target, table, None)], [(target, None, table.where("value < 5"))])
+
+
+def _maintained(t: Tables, relation: Relation, *steps: list) -> DataFrame:
+    """A relation read after each step and at the end, maintained by the changes. A step: (input, insertions, deletions) ..."""
+    out = relation.get_arrangement(t.build)
     run = t.build.begin("delta")
-    table = t.frame("events", "event_id", "event_type", "user_id")
-    target.insert_df(run, table)
-    run.commit()
-    out.read(run)
-    target.delete_df(run, table.where("event_id % 10 = 3"))
-    run.commit()
+    for step in steps:
+        for target, more, less in step:
+            if more is not None:
+                target.insert_df(run, more)
+            if less is not None:
+                target.delete_df(run, less)
+        run.commit()
+        out.read(run)
     return out.rows(run)
 
 
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')")
+def incremental_antijoin(t: Tables) -> DataFrame:
+    """Rows come back when the last order that excluded them goes."""
+    target, orders = t.build.create_input("o_orderkey BIGINT, o_custkey BIGINT")
+    out = t.of("customer", "c_custkey", unique=True).antijoin(orders.map(c_custkey="o_custkey"), "c_custkey")
+    table = t.frame("orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    return _maintained(t, out, [(target, table, None)], [(target, None, table.where("o_orderpriority <> '1-URGENT'"))])
+
+
+@query(_TRIANGLES.format("l_returnflag <> 'R'"))
+def incremental_triangles(t: Tables) -> DataFrame:
+    """Triangles go with the last line that holds one of their edges, and come with the first."""
+    columns = "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT"
+    target, items = t.build.create_input(columns)
+    table = t.frame("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    return _maintained(t, _triangles(items), [(target, table.where("l_returnflag <> 'N'"), None)], [(target, table.where("l_returnflag = 'N'"), table.where("l_returnflag = 'R'"))])
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R'")
+def incremental_distinct(t: Tables) -> DataFrame:
+    target, items = t.build.create_input("l_partkey BIGINT, l_suppkey BIGINT")
+    table = t.frame("lineitem", "l_partkey", "l_suppkey", "l_returnflag")
+    return _maintained(t, items.distinct(), [(target, table, None)], [(target, None, table.where("l_returnflag = 'R'"))])
+
+
+@query("SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+def incremental_reduce(t: Tables) -> DataFrame:
+    target, orders = t.build.create_input("o_custkey BIGINT, o_orderkey BIGINT, o_totalprice DECIMAL(18,2)")
+    out = orders.reduce("o_custkey", n="sum(_w)", cents="sum(cast(round(o_totalprice * 100) as bigint) * _w)", merged=False)
+    table = t.frame("orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    return _maintained(t, out, [(target, table, None)], [(target, None, table.where("o_orderstatus = 'F'"))])
+
+
+#: The ancestors in the tree of parts of which some aren't there.
+_CLOSURE = """WITH RECURSIVE e AS (SELECT p_partkey s, p_partkey // 2 d FROM part WHERE p_partkey > 0 AND {0}),
+c(s, d) AS (SELECT s, d FROM e UNION SELECT c.s, e.d FROM c JOIN e ON c.d = e.s) SELECT s, d FROM c"""
+
+
+def _tree(t: Tables) -> DataFrame:
+    return t.frame("part", "p_partkey", "p_size").where("p_partkey > 0").select(F.col("p_partkey").alias("s"), F.expr("p_partkey div 2").alias("d"), "p_size")
+
+
+@query(_CLOSURE.format("true"))
+def incremental_recursion(t: Tables) -> DataFrame:
+    """Insertions into a standing closure cost what follows from them."""
+    target, edges = t.build.create_input("s BIGINT, d BIGINT")
+    return _maintained(t, _closure(t.build, edges), [(target, _tree(t).where("p_size > 1"), None)], [(target, _tree(t).where("p_size = 1"), None)])
+
+
+@query(_CLOSURE.format("p_size > 1"))
+def retracted_recursion(t: Tables) -> DataFrame:
+    """Edges of a standing closure are taken back."""
+    target, edges = t.build.create_input("s BIGINT, d BIGINT")
+    return _maintained(t, _closure(t.build, edges), [(target, _tree(t), None)], [(target, None, _tree(t).where("p_size = 1"))])
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey s, p_partkey // 2 d FROM part WHERE p_partkey > 0),
+c(s, d, n) AS (SELECT s, d, 1 FROM e UNION SELECT c.s, e.d, c.n + 1 FROM c JOIN e ON c.d = e.s) SELECT DISTINCT s, d FROM c WHERE n % 2 = 0""")
+def two_variables(t: Tables) -> DataFrame:
+    """Paths of odd and of even length, each made from the other's."""
+    edges = t.of("part", "p_partkey", unique=True).filter("p_partkey > 0").map(s="p_partkey", d="p_partkey div 2", injective=True)
+    scope = t.build.subgraph()
+    (set_odd, odd), (set_even, even) = scope.variable("s BIGINT, d BIGINT"), scope.variable("s BIGINT, d BIGINT")
+    inside = edges.enter(scope)
+    longer = lambda v: v.join(inside.rename(s="m", d="t"), [("d", "m")]).map("s", d="t")
+    set_odd.set(inside.concat(longer(even)).distinct())
+    own = longer(odd).distinct()
+    set_even.set(own)
+    return t.read(own.leave(scope.finish()))
+
+
+@query("""SELECT n_nationkey AS x FROM nation UNION SELECT 100 + r_regionkey FROM region JOIN nation ON n_regionkey = r_regionkey""")
+def nested_scopes(t: Tables) -> DataFrame:
+    """A scope within a scope: what is reached from all nations, each round's new nodes settled in an inner scope."""
+    nation = t.of("nation", "n_nationkey", "n_regionkey", unique=True)
+    up, start = nation.map(s="cast(n_nationkey as bigint)", d="100L + n_regionkey"), nation.map(x="cast(n_nationkey as bigint)", injective=True)
+    outer = t.build.subgraph()
+    handle, v = outer.variable("x BIGINT")
+    inner = outer.subgraph()
+    set_inner, w = inner.variable("x BIGINT")
+    settled = v.enter(inner).concat(w).distinct()
+    set_inner.set(settled)
+    there = settled.leave(inner.finish())
+    body = start.enter(outer).concat(there.join(up.enter(outer), [("x", "s")]).map(x="d")).distinct()
+    handle.set(body)
+    return t.read(body.leave(outer.finish()))
+
+
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS cnt FROM events WHERE value > 10 GROUP BY 1")
 def streamed_counts(t: Tables) -> DataFrame:
     """The table as a stream, its batches as steps."""
@@ -380,8 +494,7 @@ def streamed_counts(t: Tables) -> DataFrame:
     target, events = t.build.create_input("event_type STRING, value DOUBLE")
     out = events.filter("value > 10").map("event_type").counts().get_arrangement(t.build)
     run = t.build.begin("delta")
-    table = t.frame("events")
-    stream = t.spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(t.folder)
+    stream = stream_table(t.spark, f"{t.folder}/events.parquet")
     place = Store(t.spark, "stream").path
     StreamDriver(run, f"{place}/log").start(stream.select("event_type", "value"), target, "events", f"{place}/checkpoint").awaitTermination()
     return out.rows(run)

@@ -18,6 +18,16 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", **options) -> Da
     return (reader.schema(schema) if schema else reader).load(path) if path else reader.load()
 
 
+def stream_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A parquet table, a file or a folder of part files, as a stream of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    if store.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
 def change_feed(df: DataFrame, column: str, codes: Mapping[str, int] = OPERATIONS) -> DataFrame:
     """df with `_w` from its operation column; an unknown code raises when it is read."""
     table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
