@@ -9,8 +9,8 @@ from zedweave.llm.common import WORD, Scratch, boxed, field, unboxed
 
 #: A line is boilerplate of a host if so many of its distinct texts hold it, whatever their number.
 LEAST_TEXTS = 20
-#: A document is depleted if its boilerplate has more than this share of the words of its distinct lines.
-DEPLETED = 0.8
+#: A document is depleted if its boilerplate has more than so many hundredths of the words of its distinct lines.
+DEPLETED = 80
 
 WINDOW = 8
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -61,7 +61,7 @@ def _removed(slim: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _judged(df: DataFrame, gone: DataFrame) -> DataFrame:
     out = df.join(gone, (F.col("host") == F.col("_gh")) & (F.col("text1") == F.col("_g1")) & (F.col("text2") == F.col("_g2")), "left").drop("_gh", "_g1", "_g2")
-    depleted = F.coalesce(F.col("gone") > DEPLETED * F.col("line_words"), F.lit(False))
+    depleted = F.coalesce(100 * F.col("gone") > DEPLETED * F.col("line_words"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
