@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zedweave.llm import files
-from zedweave.llm.common import Scratch
+from zedweave.llm.common import Scratch, temporary
 from zedweave.llm.tokens import encoder, texts
 
 #: A part ends with the document that fills it to so many bytes of ids or documents.
@@ -38,7 +38,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iter
     for batch in batches:
         column, lot, at, held = batch.column(1), [], 0, 0
         for i in range(batch.num_rows):
-            lot.append(encode.ids(column[i].as_py() or "") + stop)
+            lot.append(zlib.compress(encode.ids(column[i].as_py() or "") + stop, 1))
             held += len(lot[-1])
             if held > CHUNK or i == batch.num_rows - 1:
                 part = batch.slice(at, len(lot))
@@ -82,7 +82,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterat
             if part is None:
                 # an attempt that runs again writes files of its own; only those of the one that counts are listed
                 part, n = _Part(f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}"), n + 1
-            part.add(doc, column[i].as_buffer().to_pybytes(), width)
+            part.add(doc, zlib.decompress(column[i].as_buffer()), width)
             if part.offsets[-1] * width >= PART_BYTES or len(part.docs) >= PART_DOCS:
                 yield closed(part)
                 part = None
@@ -93,7 +93,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, width: int) -> Iterat
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents' ids, each with `end` after it, in ascending order of id; returns the parts.
 
-    Texts are encoded where they are read, and their ids alone are saved and range-partitioned. Documents of equal id are
+    Texts are encoded where they are read, and their ids alone, deflated, are saved and range-partitioned. Documents of equal id are
     told apart by a hash of the text, and those that agree in both by a number saved with their ids. Null ids
     come first. Null texts are empty. Repeated rows are documents of their own, an empty table has no parts. Other columns are
     ignored. The result is computed on each use: save it before reading the files.
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, id_
     width = encoder(tokenizer).dtype.itemsize
     # the last key parts rows that agree in all else
     order = ["doc_id", "hash", "salt"]
-    parts = max(-(-2 * held // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (held >> 20)))
+    parts = max(-(-4 * held // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (held >> 20)))
     slim = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return slim.mapInArrow(lambda b: _write(b, folder, width), PARTS)
 
@@ -159,4 +159,6 @@ def read_tokens(parts: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """write_tokens to the shared folder, then read_tokens: a row for each document, whatever its id and text."""
     scratch = Scratch(docs.sparkSession, "tokens")
-    return read_tokens(scratch.save(write_tokens(docs, f"{scratch.path}/files", tokenizer, end)))
+    with temporary():
+        parts = scratch.save(write_tokens(docs, f"{scratch.path}/files", tokenizer, end))
+    return read_tokens(parts)
