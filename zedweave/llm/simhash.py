@@ -26,8 +26,12 @@ PER_TASK = 100_000
 #: near_copies: shingles of WORDS words; SIMILAR / 100 of two texts' distinct shingles in common; 64-bit lanes of a fingerprint.
 WORDS, SIMILAR, LANES = 5, 80, 4
 #: Expected standard deviations of the differing bits above their mean at that similarity that the budget allows, the share of such
-#: pairs that may agree in no key, and keys of the first round.
-DEVIATIONS, MISSED, FIRST = 3, 0.005, 2
+#: pairs that may agree in no key, and fingerprints of such a key.
+DEVIATIONS, MISSED, RARE = 3, 0.01, 128
+#: Texts within TIGHT of the budget hang together at once; their links are looked at for FIRST keys.
+TIGHT, FIRST = 0.25, 2
+#: Shingles of a slice of texts that are compared together.
+SLICE = 1 << 19
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -209,7 +213,7 @@ def samples(n: int) -> list[np.ndarray]:
     They have as many bits as make keys rare enough for n fingerprints, and are cut from the bits in random order, so that
     those of one order share none.
     """
-    m = min(64, max(8, math.ceil(math.log2(max(n, 1) / PER_KEY))))
+    m = min(64, max(8, math.ceil(math.log2(max(n, 1) / RARE))))
     count = math.ceil(math.log(MISSED) / math.log(1 - (1 - angle()) ** m))
     rng, out = np.random.default_rng(42), []
     while len(out) < count:
@@ -224,14 +228,45 @@ def _sampled(bits: np.ndarray) -> Column:
     return F.xxhash64(*[F.col(f"f{i}").bitwiseAND(F.lit(_signed(sum(1 << (63 - (int(b) & 63)) for b in bits if int(b) >> 6 == i)))) for i in sorted(lanes)])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], budget: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(u, v) of rows t whose fingerprints are close: of unlike labels r, all (whole), or else links enough to join them."""
+def _nearest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """(u, v, d, tight): for each row t that has any within the budget, one of the nearest that are unlike it at their
+    time; tight: links that join the components of FIRST keys' tight pairs, within which nothing more is looked at."""
+    if (own := _cells(batches)) is None:
+        return
+    table, group, fps = own
+    t, n, first = table["t"].to_numpy(), table["n"].to_numpy(), table["k"].to_numpy() < FIRST
+    root, best = np.arange(len(t)), np.full(len(t), np.iinfo(np.int64).max)
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def seen(a: np.ndarray, b: np.ndarray) -> None:
+        d = trie.differing(fps[a], fps[b]).astype(np.int64)
+        fit = (d <= budget) & (100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]))
+        a, b, d = a[fit], b[fit], d[fit]
+        np.minimum.at(best, a, d << 40 | b)
+        np.minimum.at(best, b, d << 40 | a)
+        a, b = (x[d <= TIGHT * budget] for x in (a, b))
+        a, b = trie.linking(root, a, b)
+        trie.joined(root, a, b)
+        ends.append((a[first[a]], b[first[a]]))
+
+    near = np.flatnonzero(group[1:] == group[:-1])
+    seen(near, near + 1)
+    for a, b in trie.close_pairs(group, fps, budget, root):
+        seen(a, b)
+    at = np.flatnonzero(best < np.iinfo(np.int64).max)
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    u, v = np.concatenate([t[at], t[a]]), np.concatenate([t[best[at] & (1 << 40) - 1], t[b]])
+    d, tight = np.concatenate([best[at] >> 40, np.zeros(len(a), dtype=np.int64)]), np.arange(len(u)) >= len(at)
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(tight)], ["u", "v", "d", "tight"])
+
+
+def _unlike(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): all pairs of rows t within the budget whose labels r differ."""
     if (own := _cells(batches)) is None:
         return
     table, group, fps = own
     t, n = table["t"].to_numpy(), table["n"].to_numpy()
-    lots = trie.close_pairs(group, fps, budget, table["r"].to_numpy()) if whole else [trie.forest(group, fps, budget)[1:]]
-    for a, b in lots:
+    for a, b in trie.close_pairs(group, fps, budget, table["r"].to_numpy()):
         fit = 100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b])
         if fit.any():
             u, v = t[a[fit]], t[b[fit]]
@@ -240,44 +275,81 @@ def _candidates(batches: Iterator[pa.RecordBatch], budget: int, whole: bool) ->
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose texts are alike. Rows (c, i, j, u, v, text) come cell by cell, in each the texts of u first."""
+    cell, held = None, {}
     for batch in batches:
-        ok, left, right = [], batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            a, b = shingles(left[i].as_py()), shingles(right[i].as_py())
-            both = len(a & b)
-            ok.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        keys, texts_ = list(zip(*(batch.column(k).to_pylist() for k in range(5)))), batch.column(5)
+        found = []
+        for k, (*at, u, v) in enumerate(keys):
+            if at != cell:
+                cell, held = at, {}
+            if v is None:
+                own = shingles(texts_[k].as_py())
+                held[u] = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own)))
+            else:
+                a, b = held[u], held[v]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= SIMILAR * (len(a) + len(b) - both):
+                    found.append((u, v))
+        if found:
+            u, v = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def checked(pairs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of pairs (u, v), saved, those whose texts (own: t, n, text) are alike, saved.
+
+    Texts of a component of pairs meet in one cell, or, if they are many, slice by slice in a cell for each two slices: so a
+    text is shuffled once or as often as there are slices, not once a pair.
+    """
+    stars = components(scratch.save(pairs), scratch)
+    members = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct().join(stars, F.col("t") == F.col("u"), "left").select("t", F.coalesce("v", "t").alias("c"))
+    members = scratch.save(members.join(own.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).select("t", "c", "n"))
+    slices = members.groupBy("c").agg(F.ceil(F.sum("n") / SLICE).alias("s")).where("s > 1").select(F.col("c").alias("_c"), "s")
+    slot = F.pmod(F.xxhash64("t", F.lit(7)), F.coalesce("s", F.lit(1)))
+    members = scratch.save(members.join(slices, F.col("c") == F.col("_c"), "left").select("t", "c", slot.alias("slot")))
+    left, right = (members.select(F.col("t").alias(f"_{x}"), F.col("slot").alias(f"_s{x}"), *([F.col("c")] if x == "u" else [])) for x in "uv")
+    cells = pairs.join(left, F.col("u") == F.col("_u")).join(right, F.col("v") == F.col("_v"))
+    cells = scratch.save(cells.select("c", F.least("_su", "_sv").alias("i"), F.greatest("_su", "_sv").alias("j"), "u", "v"))
+    needed = cells.select("c", "i", "j", F.explode(F.array("u", "v")).alias("u")).distinct()
+    rows = needed.join(own, F.col("u") == F.col("t")).select("c", "i", "j", "u", F.lit(None).cast("long").alias("v"), "text")
+    rows = rows.unionAll(cells.select("c", "i", "j", "u", "v", F.lit(None).cast("string").alias("text")))
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // PER_TASK))
+    rows = rows.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("v").asc_nulls_first())
+    return scratch.save(rows.mapInArrow(_alike, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs: texts `t` (hash), `text`. A saved table (u, v): v is the smallest member of u's component of near copies, u isn't.
 
     Two texts are near copies if SIMILAR / 100 of their distinct WORDS-word shingles are common. Trie self-joins of
-    SimHash fingerprints, within keys of sampled bits, propose pairs within near_budget(), and the texts decide. First, links
-    enough to join each trie's close fingerprints are looked at, of FIRST keys; then, of all keys, all close pairs of texts
-    that aren't in one component yet: links within a component join nothing, so large groups of copies don't make squares.
+    SimHash fingerprints, within keys of sampled bits, propose pairs within near_budget(), and the texts decide. First each text's
+    nearest is looked at, and links of tight pairs; then all close pairs of texts that aren't in one component yet: links
+    within a component join nothing, so large groups of copies don't make squares. Only texts that have a close one are
+    shuffled, and only they take part the second time.
     """
-    sketch = docs.mapInArrow(_sketches, "t long, n long, " + ", ".join(f"f{i} long" for i in range(LANES)))
     lanes = [f"f{i}" for i in range(LANES)]
+    sketch = docs.mapInArrow(_sketches, "t long, n long, " + ", ".join(f"{c} long" for c in lanes))
     sketch = scratch.save(sketch.groupBy("t").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]))  # copies count once
     total, budget = sketch.count(), near_budget()
     keys = samples(total)
 
-    def checked(some: list[int], labels: DataFrame | None) -> DataFrame:
-        rows, whole = sketch.withColumn("r", F.col("t")), labels is not None
-        if whole:
-            rows = sketch.join(labels, F.col("t") == F.col("u"), "left").withColumn("r", F.coalesce("v", "t")).drop("u", "v")
-        keyed = rows.select("*", F.posexplode(F.array(*[_sampled(keys[i]) for i in some])).alias("k", "key")).select("k", "key", "t", "n", "r", *lanes)
-        pairs = dealt(keyed, "t", total * len(some), scratch).mapInArrow(lambda b: _candidates(b, budget, whole), "u long, v long")
-        pairs = scratch.save(pairs.distinct())
-        both = scratch.save(pairs.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
-        own = scratch.save(docs.join(both, F.col("t") == F.col("_t"), "left_semi").groupBy("t").agg(F.first("text").alias("text")))
-        left, right = own.select(F.col("t").alias("_t1"), F.col("text").alias("a")), own.select(F.col("t").alias("_t2"), F.col("text").alias("b"))
-        found = pairs.join(left, F.col("u") == F.col("_t1")).join(right, F.col("v") == F.col("_t2")).select("u", "v", "a", "b")
-        return scratch.save(found.mapInArrow(_alike, "u long, v long"))
-
-    stars = components(checked(list(range(FIRST)), None), scratch)
-    more = checked(list(range(len(keys))), stars)
+    def tries(rows: DataFrame, *more: str) -> DataFrame:
+        keyed = rows.select("*", F.posexplode(F.array(*[_sampled(bits) for bits in keys])).alias("k", "key"))
+        return dealt(keyed.select("k", "key", "t", "n", *more, *lanes), "t", total * len(keys), scratch)
+
+    found = scratch.save(tries(sketch).mapInArrow(lambda b: _nearest(b, budget), "u long, v long, d long, tight boolean"))
+    best = found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select("u", "m.v")
+    pairs = best.unionAll(found.where("tight").select("u", "v"))
+    pairs = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    close = scratch.save(found.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
+    some = scratch.save(sketch.join(close, F.col("t") == F.col("_t"), "left_semi"))
+    own = docs.join(some.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).groupBy("t").agg(F.first("n").alias("n"), F.first("text").alias("text"))
+    own = scratch.save(own)
+    stars = components(checked(pairs, own, scratch), scratch)
+    labelled = some.join(stars, F.col("t") == F.col("u"), "left").select("t", "n", F.coalesce("v", "t").alias("r"), *lanes)
+    more = scratch.save(tries(labelled, "r").mapInArrow(lambda b: _unlike(b, budget), "u long, v long").distinct())
+    more = checked(more, own, scratch)
     return components(scratch.save(stars.unionAll(more).distinct()), scratch)
 
 

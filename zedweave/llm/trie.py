@@ -8,6 +8,8 @@ import numpy as np
 
 #: Pairs of trie nodes held at once.
 PAIRS = 1 << 18
+#: Depths of which the counts of one bits are kept.
+CACHED = 32
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,6 +86,8 @@ def close_pairs(group: np.ndarray, fps: np.ndarray, budget: int, known: np.ndarr
                     changes = None
             continue
         if depth not in ones:
+            if depth > CACHED:
+                ones = {d: c for d, c in ones.items() if d <= CACHED}
             ones[depth] = np.r_[0, np.cumsum((fps[:, depth >> 6] >> np.uint64(63 - (depth & 63))) & np.uint64(1))].astype(np.int32)
         c = ones[depth]
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
@@ -95,6 +99,15 @@ def close_pairs(group: np.ndarray, fps: np.ndarray, budget: int, known: np.ndarr
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*kids))))
 
 
+def linking(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs a-b one for each two components that they link."""
+    ra, rb = root[a], root[b]
+    of = np.where(ra == rb, -1, np.minimum(ra, rb) * np.int64(len(root)) + np.maximum(ra, rb))
+    key, first = np.unique(of, return_index=True)
+    first = first[key >= 0]
+    return a[first], b[first]
+
+
 def forest(group: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Components of "same group, at most `budget` differing bits": each row's root (the component's first row), and the
     ends of links that make the components; few more than rows."""
@@ -105,9 +118,7 @@ def forest(group: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray,
         joined(root, near, near + 1)
         found.append((near, near + 1))
     for a, b in close_pairs(group, fps, budget, root):
-        ra, rb = root[a], root[b]
-        _, first = np.unique(np.minimum(ra, rb) * np.int64(len(fps)) + np.maximum(ra, rb), return_index=True)  # one for each two components
-        a, b = a[first], b[first]
+        a, b = linking(root, a, b)
         joined(root, a, b)
         found.append((a, b))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=int),) * 2
