@@ -387,6 +387,36 @@ def test_checks_and_containers(spark):
             out.read(run).collect()
 
 
+def test_nested_of_any_depth(spark):
+    """Maps of maps, and sorted arrays of sorted arrays; one exchange for all levels."""
+    b = Builder(spark)
+    own, r = b.create_input("k STRING, l INT, m INT")
+    deep, one = r.get_arrangement(b, "nested", keys=[["k"], ["l"]]), r.get_arrangement(b, "nested", keys=["k", "l"])
+    ordered, whole = r.get_arrangement(b, "nested_ordered", keys=[["k"], ["l"]]), r.get_arrangement(b, "nested", keys=[["k"], ["l"], ["m"]])
+    run = b.begin()
+    own.insert_all(run, [("b", 2, 9), ("a", 2, 1), ("a", 1, 5), ("a", 2, 0), ("a", 2, 0)])
+    run.commit()
+    assert {x["k"]: {l[0]: {m[0]: w for m, w in c.items()} for l, c in x["contents"].items()} for x in deep.read(run).collect()} == {"a": {1: {5: 1}, 2: {1: 1, 0: 2}}, "b": {2: {9: 1}}}
+    assert {(x["k"], x["l"]): {m[0]: w for m, w in x["contents"].items()} for x in one.read(run).collect()} == {("a", 1): {5: 1}, ("a", 2): {1: 1, 0: 2}, ("b", 2): {9: 1}}
+    assert [(x["k"], [(e["key"]["l"], [(f["key"]["m"], f["contents"]) for f in e["contents"]]) for e in x["contents"]]) for x in ordered.read(run).collect()] == [("a", [(1, [(5, 1)]), (2, [(0, 2), (1, 1)])]), ("b", [(2, [(9, 1)])])]
+    assert {x["k"]: {l[0]: {m[0]: list(c2.values()) for m, c2 in c.items()} for l, c in x["contents"].items()} for x in whole.read(run).collect()} == {"a": {1: {5: [1]}, 2: {1: [1], 0: [2]}}, "b": {2: {9: [1]}}}
+    with pytest.raises(ValueError):
+        Builder(spark).create_input("k INT")[1].get_arrangement(b, "nested", keys=[["k"], ["k"]])
+
+
+def test_reduces_to_containers(spark, mode):
+    from zedweave.functions.maps import OptionMap, SingletonMap, VecMap
+
+    kv, rows = "k STRING, v BIGINT", [(("a", 1), 2), (("a", 3), 1), (("b", 2), 1)]
+    of = lambda fn: once(spark, kv, rows, lambda r: r.reduce("k", fn, schema="v BIGINT"), mode)
+    assert of(lambda key, g: SingletonMap(int(g["v"].sum()))) == {("a", 4): 1, ("b", 2): 1}
+    assert of(lambda key, g: OptionMap(7, 5) if len(g) > 1 else OptionMap()) == {("a", 7): 5}
+    assert of(lambda key, g: VecMap((int(v), int(w)) for v, w in zip(g["v"], g["_w"]))) == {("a", 1): 2, ("a", 3): 1, ("b", 2): 1}
+    assert of(lambda key, g: {(9,): 2}) == {("a", 9): 2, ("b", 9): 2}
+    with pytest.raises(Exception, match="Duplicate keys"):
+        of(lambda key, g: VecMap([(1, 1), (1, 1)]))
+
+
 def test_python_functions(spark, mode):
     kv = "k STRING, v BIGINT"
     rows = [(("a", 1), 2), (("b", 2), 1)]

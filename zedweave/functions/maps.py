@@ -1,4 +1,4 @@
-"""Small containers for results that have been brought to the driver."""
+"""Small containers: of a reduce's results in Python, or of results that have been brought to the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 
+class SingletonMap:
+    """One key of weight 1."""
+
+    def __init__(self, key: Any):
+        self.key = key
+
+    def items(self) -> Iterator[tuple[Any, Any]]:
+        return iter([(self.key, 1)])
+
+
 class OptionMap:
     """No entry or one."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -44,21 +45,32 @@ def _tuple(r) -> tuple:
     return tuple(r) if isinstance(r, (tuple, list)) else (r,)
 
 
-def per_group(fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], keys: list[str], schema: T.StructType, weights: WeightType) -> Callable[[DataFrame], DataFrame]:
-    """fn(key, frame of the group's rows with weights) returns a frame of the columns besides the keys, and weights (else 1).
+def framed(made, columns: list[str], weights: list[str]) -> pd.DataFrame:
+    """The frame that a function has returned, or made of its map from rows to weights."""
+    if isinstance(made, pd.DataFrame):
+        return made.copy()
+    rows = [(*_tuple(r), *_tuple(w)) for r, w in (made.items() if hasattr(made, "items") else made)]
+    return pd.DataFrame(rows, columns=[*columns, *weights]) if rows else pd.DataFrame({c: [] for c in (*columns, *weights)})
+
+
+def per_group(fn: Callable[[tuple, pd.DataFrame], Any], keys: list[str], schema: T.StructType, weights: WeightType) -> Callable[[DataFrame], DataFrame]:
+    """fn(key, frame of the group's rows with weights) returns a frame of the columns besides the keys, and weights (else 1), or
+    a map from rows to weights: a dict, SingletonMap, OptionMap or VecMap.
 
     A group comes to one task as a whole: that is what an opaque function of it needs.
     """
-    out = with_weights(schema, weights)
+    out, columns, weight_names = with_weights(schema, weights), [n for n in schema.names if n not in keys], weights.names
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = fn(key, rows).copy()
+        made = framed(fn(key, rows), columns, weight_names)
         for k, v in zip(keys, key):
             made[k] = v if not isinstance(v, (list, dict)) else [v] * len(made)
-        for n in weights.names:
+        for n in weight_names:
             if n not in made:
                 made[n] = 1
-        return made[out.names]
+        return made[names]
+
+    names = out.names
 
     def apply(df: DataFrame) -> DataFrame:
         return df.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(run, out)

@@ -13,7 +13,7 @@ from zedweave.plans.weights import consolidated
 if TYPE_CHECKING:
     from zedweave.plans.context import Builder, Session
 
-KINDS = ("rows", "ordered", "nested", "mapping")
+KINDS = ("rows", "ordered", "nested", "nested_ordered", "mapping")
 
 #: Repeats of a row that are made at a time.
 BLOCK = 1 << 16
@@ -37,26 +37,33 @@ class Output:
 class Arrangement(Output):
     """The maintained contents of a relation."""
 
-    def __init__(self, build: Builder, node: Node, kind: str = "rows", keys: list[str] = ()):
+    def __init__(self, build: Builder, node: Node, kind: str = "rows", keys: list[str] | list[list[str]] = ()):
+        """keys: columns, or for nested kinds a list of columns for each level of maps from the outermost on."""
         super().__init__(build, node)
         if kind not in KINDS:
             raise ValueError(f"kind is one of {KINDS}")
-        if kind in ("nested", "mapping") and not keys:
+        if kind not in ("rows", "ordered") and not keys:
             raise ValueError(f"{kind} needs keys")
-        self.kind, self.keys = kind, checked_keys(node, list(keys))
+        levels = [list(k) for k in keys] if any(not isinstance(k, str) for k in keys) else [list(keys)]
+        if kind == "mapping" and len(levels) > 1:
+            raise ValueError("a mapping has one level of keys")
+        self.kind, self.levels, self.keys = kind, levels, checked_keys(node, [c for k in levels for c in k])
+        if len(set(self.keys)) < len(self.keys):
+            raise ValueError(f"keys repeat: {self.keys}")
 
     def read(self, session: Session) -> DataFrame:
         """As of the last commit, consolidated.
 
         rows: the columns and the weight. ordered: the same, sorted by the columns. nested: a row for each key
-        with a map from the other columns to their weight. mapping: as rows, failing unless keys are unique with weight 1,
-        without the weight.
+        with a map `contents`, from the other columns to their weight, or with more levels of keys from the next level's
+        keys to such a map, and so on. nested_ordered: the same with arrays of (key, contents) in place of maps, sorted by key,
+        and rows sorted too. mapping: as rows, failing unless keys are unique with weight 1, without the weight.
         """
         df = self._frame(session)
         if self.kind == "ordered":
             return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in self.node.columns])
-        if self.kind == "nested":
-            return nested(df, self.node, self.keys)
+        if self.kind.startswith("nested"):
+            return nested(df, self.node, self.levels, self.kind == "nested_ordered")
         return mapped(df, self.keys) if self.kind == "mapping" else df
 
     def changes(self, session: Session) -> DataFrame:
@@ -86,11 +93,21 @@ class Arrangement(Output):
         return {tuple(r[n] for n in names): r[w[0]] if len(w) == 1 else tuple(r[n] for n in w) for r in self._frame(session).collect()}
 
 
-def nested(df: DataFrame, node: Node, keys: list[str]) -> DataFrame:
+def nested(df: DataFrame, node: Node, levels: list[list[str]], ordered: bool = False) -> DataFrame:
+    """Rows by the first level's keys. All levels are grouped in one exchange, by the first."""
+    keys = [c for k in levels for c in k]
     rest = [c for c in node.columns if c not in keys]
-    weight = F.col("_w") if len(node.weights.names) == 1 else F.struct(*node.weights.names)
-    entry = F.struct(F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True), weight)
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.map_from_entries(F.collect_list(entry)).alias("contents"))
+    contents = F.col("_w") if len(node.weights.names) == 1 else F.struct(*node.weights.names)
+    if len(levels) > 1:
+        df = df.repartition(*[F.col(f"`{k}`") for k in levels[0]])
+    for depth in range(len(levels), 0, -1):
+        below = rest if depth == len(levels) else levels[depth]
+        key = F.struct(*[F.col(f"`{c}`") for c in below]) if below else F.lit(True)
+        entries = F.collect_list(F.struct(key.alias("key"), contents.alias("contents")))
+        upto = [F.col(f"`{c}`") for k in levels[:depth] for c in k]
+        df = df.groupBy(*upto).agg((F.array_sort(entries) if ordered else F.map_from_entries(entries)).alias("contents"))
+        contents = F.col("contents")
+    return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in levels[0]]) if ordered else df
 
 
 def mapped(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,7 +137,7 @@ class ReduceOutput(Output):
     """A reduce's results by key; keys whose function returned nothing are listed with an empty map."""
 
     def read(self, session: Session) -> DataFrame:
-        out = nested(self._frame(session), self.node, self.node.keys)
+        out = nested(self._frame(session), self.node, [self.node.keys])
         dep = self.node.deps[0]
         if self.node.insertions:  # least, greatest and distinct rows: every group has some
             return out

@@ -236,7 +236,8 @@ class Relation:
         "count(1)"); one row of weight 1 for each group. merged=False lets them run on rows that aren't merged yet, right
         for sums of products with `_w`, minima and maxima.
         reduce(keys, fn, schema="..."): fn(key, pandas frame of values and weights) returns a frame of the columns of
-        schema (without the keys), with weights or not.
+        schema (without the keys), with weights or not; or a container of zedweave.functions.maps or a dict, from rows (tuples, or values
+        of a single column) to weights.
         """
         keys = checked_keys(self.node, _names(keys))
         if fn is not None:
@@ -365,9 +366,9 @@ class Relation:
 
     # outputs
 
-    def get_arrangement(self, build: Builder, kind: str = "rows", keys: str | list[str] = ()) -> Arrangement:
-        """An output; kind: rows, ordered, nested or mapping (see Arrangement.read)."""
-        return Arrangement(build, self.node, kind, _names(keys))
+    def get_arrangement(self, build: Builder, kind: str = "rows", keys: str | list[str] | list[list[str]] = ()) -> Arrangement:
+        """An output; kind: rows, ordered, nested, nested_ordered or mapping (see Arrangement.read)."""
+        return Arrangement(build, self.node, kind, [keys] if isinstance(keys, str) else list(keys))
 
     def get_dyn_arrangement(self, build: Builder) -> Arrangement:
         return self.get_arrangement(build)
