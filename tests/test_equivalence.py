@@ -53,8 +53,10 @@ def run_through(spark, mode, seed, rounds=STEPS):
         yield step, {name: (out.to_dict(run), f(*held)) for name, (out, f) in outs.items()}
 
 
-@pytest.mark.parametrize("mode,seed", [("delta", 1), ("snapshot", 3)])
-def test_against_the_model(spark, mode, seed):
+@pytest.mark.parametrize("mode,seed,large", [("delta", 1, None), ("delta", 2, 0), ("snapshot", 3, None)])
+def test_against_the_model(spark, mode, seed, large, monkeypatch):
+    if large is not None:  # states are looked up by the keys of changes, however small they are
+        monkeypatch.setattr("zedweave.plans.delta.LARGE", large)
     for step, results in run_through(spark, mode, seed):
         for name, (got, expected) in results.items():
             assert got == expected, (name, step)
@@ -187,3 +189,25 @@ def test_reduce_output_of_changes(spark):
         own.delete(run, ("b", 1))
         run.commit()
         assert {x["k"]: len(x["contents"]) for x in out.read(run).collect()} == {"a": 0}
+
+
+def test_large_states_are_looked_up(spark, monkeypatch):
+    """A small change's keys are pushed to the scan of the other side's sorted state."""
+    from zedweave.plans import delta
+
+    monkeypatch.setattr(delta, "LARGE", 1000)
+    build = Builder(spark)
+    (i, a), (j, b) = build.create_input("k BIGINT, v INT"), build.create_input("k BIGINT, u INT")
+    out = a.join(b, "k").get_arrangement(build)
+    run = build.begin("delta")
+    j.insert_df(run, spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("u")))
+    i.insert(run, (7, 7))
+    run.commit()
+    assert out.to_dict(run) == {(7, 7, 1): 1}
+    seen, met = [], delta.DeltaRun.met
+    monkeypatch.setattr(delta.DeltaRun, "met", lambda self, *x, **y: (seen.append(met(self, *x, **y)), seen[-1])[1])
+    i.insert_all(run, [(k, k) for k in (11, 12, 4999, 9999)])
+    run.commit()
+    assert out.to_dict(run) == {(7, 7, 1): 1, (11, 11, 1): 1, (12, 12, 1): 1, (4999, 4999, 1): 1}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(k, [11,12,4999,9999])]" in plan

@@ -10,6 +10,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zedweave.plans.nodes import AntiJoin, Enter, Frame, Leave, Node, Reduce, Source, Variable
 from zedweave.plans.weights import consolidated, union
@@ -20,8 +21,13 @@ if TYPE_CHECKING:
     from zedweave.plans.snapshot import Snapshot
     from zedweave.plans.store import Store
 
+#: Types of columns whose values are pushed to scans.
+LOOKED_UP = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.DecimalType)
+
 #: Saved changes after which the newest of a log are merged.
 LONG = 12
+#: Rows of a state from which on a change of at most FEW keys is looked up in it, and keys of one pushed filter.
+LARGE, FEW, AT_ONCE = 1 << 20, 200, 10
 
 
 class DeltaRun:
@@ -44,6 +50,7 @@ class DeltaRun:
         self.growing: set[Node] = set()
         self._moving: dict[Node, bool] = {}
         self.by_output: set[Node] = set()  # reduces of which the output is kept, as long as only insertions come
+        self.order: dict[Node, list[str]] = {}  # columns by which a kept node's log is looked up
         self.reachable = self._reachable()
         self.kept_nodes = self._kept()
 
@@ -93,6 +100,7 @@ class DeltaRun:
                 if own and self.moving(d) or any(self.moving(x) for j, x in enumerate(deps) if j != i):
                     out.add(d)
                     self.asked.add(d)
+                    self.order.setdefault(d, n.looked_up_by(i))
             if isinstance(n, Reduce) and n.insertions and self.moving(n.deps[0]):
                 out.add(n)
                 self.by_output.add(n)
@@ -115,6 +123,12 @@ class DeltaRun:
         """d with equal rows merged, saved; None if nothing is left."""
         if not (isinstance(node, Reduce) and node.unit):  # their rules leave no equal rows
             d = consolidated(d, node.weights)
+        return self.written(d, node)
+
+    def written(self, d: DataFrame, node: Node) -> Frame:
+        """Saved, sorted within its files by the columns that it is looked up by."""
+        if by := self.order.get(node):
+            d = d.sortWithinPartitions(*[F.col(f"`{c}`") for c in by])
         return self.store.watched(d, "_w" if node.weights.is_integer else None)
 
     def keep(self, node: Node) -> Frame:
@@ -183,6 +197,23 @@ class DeltaRun:
         parts = [x for x in (self.state(node), self.delta(node)) if x is not None]
         return union(parts) if parts else None
 
+    def met(self, node: Node, names: list[str], d: DataFrame, by: list[str], new: bool = False) -> Frame:
+        """state (new: new_state), perhaps without rows whose `names` are like no row's `by` of d.
+
+        Where a large state meets few keys these are pushed to its scan, which skips the pages of sorted files without them.
+        """
+        held = self.state(node)
+        if held is not None and names and sum(getattr(f, "_zedweave_rows", 0) for f in self.logs[node]) >= LARGE and isinstance(node.schema[names[0]].dataType, LOOKED_UP):
+            keys = [r[0] for r in d.select(F.col(f"`{by[0]}`")).distinct().limit(FEW + 1).collect()]
+            if len(keys) <= FEW:
+                known, c = sorted(k for k in keys if k is not None), F.col(f"`{names[0]}`")
+                some = F.lit(False) if len(known) == len(keys) else c.isNull()
+                for k in range(0, len(known), AT_ONCE):
+                    some = some | c.isin(known[k : k + AT_ONCE])
+                held = held.where(some)
+        parts = [x for x in (held, self.delta(node) if new else None) if x is not None]
+        return union(parts) if parts else None
+
     def fed(self, variable: Variable) -> Frame:
         return self.feed.get(variable)
 
@@ -255,5 +286,5 @@ class DeltaRun:
             held += size(log[k])
         if k == len(log) - 1:
             return log
-        merged = self.store.watched(consolidated(union(log[k:]), node.weights), "_w" if node.weights.is_integer else None)
+        merged = self.written(consolidated(union(log[k:]), node.weights), node)
         return log[:k] + ([] if merged is None else [merged])

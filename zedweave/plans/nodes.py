@@ -62,6 +62,10 @@ class Node:
         """The inputs whose contents a delta rule reads again in later steps."""
         return []
 
+    def looked_up_by(self, side: int) -> list[str]:
+        """The columns by which a delta rule looks for rows of stateful()[side]."""
+        return []
+
     def grows(self, run: DeltaRun) -> bool:
         """Whether this step's delta is known to have positive weights only."""
         return False
@@ -220,14 +224,18 @@ class Join(Node):
     def delta(self, run):
         left, right = self.deps
         da, db = run.delta(left), run.delta(right)
-        old_b = run.state(right) if da is not None else None
-        new_a = run.new_state(left) if db is not None else None
+        mine, theirs = self.looked_up_by(0), self.looked_up_by(1)
+        old_b = run.met(right, theirs, da, mine) if da is not None else None
+        new_a = run.met(left, mine, db, theirs, new=True) if db is not None else None
         parts = [self.joined(x, y) for x, y in ((da, old_b), (new_a, db)) if x is not None and y is not None]
         return union(parts) if parts else None
 
     def stateful(self):
         return self.deps
 
+    def looked_up_by(self, side):
+        return [p[side] for p in self.pairs]
+
     def grows(self, run):
         return self.weights.is_integer and all(run.grows(n) and run.has_grown(n) for n in self.deps)
 
@@ -261,12 +269,12 @@ class AntiJoin(Node):
         left, right = self.deps
         da, db = run.delta(left), run.delta(right)
         parts = []
-        if db is not None and (old_a := run.state(left)) is not None:
+        mine, keys = self.looked_up_by(0), self.looked_up_by(1)
+        if db is not None and (old_a := run.met(left, mine, db, keys)) is not None:
             w = right.weights
-            keys = [p[1] for p in self.pairs]
             new_part = self.right_keys(db)
             touched = new_part.select(*[F.col(f"`{k}`") for k in keys])
-            held = run.state(right)
+            held = run.met(right, keys, new_part, keys)
             both = new_part.withColumns({f"_was{i}": F.lit(0).cast(t) for i, (_, t) in enumerate(w.fields)})
             if held is not None:
                 old_part = self.right_keys(only(held, right, touched, keys))
@@ -280,13 +288,16 @@ class AntiJoin(Node):
             moved = old_a.join(flips, null_safe(left, right, self.pairs) if self.pairs else F.lit(True), "inner")
             parts.append(moved.select(*[F.col(f"`{c}`") for c in left.columns], *[(F.col(n) * F.col("_sign")).cast(t).alias(n) for n, t in left.weights.fields]))
         if da is not None:
-            new_b = run.new_state(right)
+            new_b = run.met(right, keys, da, mine, new=True)
             parts.append(da if new_b is None else self.without(da, self.right_keys(new_b)))
         return union(parts) if parts else None
 
     def stateful(self):
         return self.deps
 
+    def looked_up_by(self, side):
+        return [p[side] for p in self.pairs]
+
 
 def only(df: DataFrame, node: Node, keys: DataFrame, names: list[str]) -> DataFrame:
     """The rows of df whose `names` are among the rows of keys."""
@@ -368,9 +379,9 @@ class Reduce(Node):
             return None
         if self.insertions and run.only_insertions(self):
             return self.after_insertions(run.delta(dep), run.state(self), run.has_grown(self))
-        d, old = run.keep(dep), run.state(dep)
-        if d is None:
+        if (d := run.keep(dep)) is None:
             return None
+        old = run.met(dep, self.keys, d, self.keys)
         if old is None:
             return self.fn(consolidated(d, dep.weights))
         # one sum gives the touched groups' rows both before and after
@@ -405,6 +416,9 @@ class Reduce(Node):
     def stateful(self):
         return [] if self.insertions else self.deps
 
+    def looked_up_by(self, side):
+        return self.keys
+
     def grows(self, run):
         return run.delta(self.deps[0]) is None or self.insertions == "distinct" and run.by_insertions(self)
 
