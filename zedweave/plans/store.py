@@ -45,9 +45,6 @@ class Store:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
         self.places: dict[int, str] = {}
-        at, store = self._on_store(self.path)
-        store.mkdirs(at)
-        store.deleteOnExit(at)
         if _watching:
             _watching[-1].append(self)
 
@@ -55,6 +52,9 @@ class Store:
         self.n += 1
         at = f"{self.path}/{self.n}"
         df.write.parquet(at)
+        if self.n == 1:
+            path, store = self._on_store(self.path)
+            store.deleteOnExit(path)
         out = self.spark.read.schema(df.schema).parquet(at)
         self.places[id(out)] = at
         out._zedweave_keep = self  # the id stays taken as long as the frame lives
