@@ -137,12 +137,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return edges
         seen = mark
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = scratch.save(both.where(F.col("v") > F.col("u")).join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m"))
-        small = large.join(low2, F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.save(low2.select(F.col("w").alias("u"), F.col("m").alias("v")).unionAll(small).distinct())
-        for old in (edges, low, large, low2):
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        small = large.join(low, F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = scratch.save(low.select(F.col("w").alias("u"), F.col("m").alias("v")).unionAll(small).distinct())
+        for old in (edges, large):
             scratch.drop(old)
         edges = new
 
@@ -297,26 +297,24 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def checked(pairs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of pairs (u, v), saved, those whose texts (own: t, n, text) are alike, saved.
+    """Of pairs (c, u, v), saved, those whose texts (own: t, n, text) are alike, saved as (u, v), u > v.
 
-    Texts of a component of pairs meet in one cell, or, if they are many, slice by slice in a cell for each two slices: so a
+    The texts of the pairs of one c meet in one cell, or, if they are many, slice by slice in a cell for each two slices: so a
     text is shuffled once or as often as there are slices, not once a pair.
     """
-    stars = components(scratch.save(pairs), scratch)
-    members = pairs.select(F.explode(F.array("u", "v")).alias("t")).distinct().join(stars, F.col("t") == F.col("u"), "left").select("t", F.coalesce("v", "t").alias("c"))
+    members = pairs.select("c", F.explode(F.array("u", "v")).alias("t")).distinct()
     members = scratch.save(members.join(own.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).select("t", "c", "n"))
     slices = members.groupBy("c").agg(F.ceil(F.sum("n") / SLICE).alias("s")).where("s > 1").select(F.col("c").alias("_c"), "s")
-    slot = F.pmod(F.xxhash64("t", F.lit(7)), F.coalesce("s", F.lit(1)))
-    members = scratch.save(members.join(slices, F.col("c") == F.col("_c"), "left").select("t", "c", slot.alias("slot")))
-    left, right = (members.select(F.col("t").alias(f"_{x}"), F.col("slot").alias(f"_s{x}"), *([F.col("c")] if x == "u" else [])) for x in "uv")
-    cells = pairs.join(left, F.col("u") == F.col("_u")).join(right, F.col("v") == F.col("_v"))
-    cells = scratch.save(cells.select("c", F.least("_su", "_sv").alias("i"), F.greatest("_su", "_sv").alias("j"), "u", "v"))
+    cells = pairs.join(slices, F.col("c") == F.col("_c"), "left")
+    slot = lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.coalesce("s", F.lit(1)))
+    cells = cells.select("c", F.least(slot("u"), slot("v")).alias("i"), F.greatest(slot("u"), slot("v")).alias("j"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    cells = scratch.save(cells.distinct())
     needed = cells.select("c", "i", "j", F.explode(F.array("u", "v")).alias("u")).distinct()
     rows = needed.join(own, F.col("u") == F.col("t")).select("c", "i", "j", "u", F.lit(None).cast("long").alias("v"), "text")
     rows = rows.unionAll(cells.select("c", "i", "j", "u", "v", F.lit(None).cast("string").alias("text")))
     tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // PER_TASK))
     rows = rows.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("v").asc_nulls_first())
-    return scratch.save(rows.mapInArrow(_alike, "u long, v long"))
+    return scratch.save(rows.mapInArrow(_alike, "u long, v long").distinct())
 
 
 def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -340,8 +338,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     found = scratch.save(tries(sketch).mapInArrow(lambda b: _nearest(b, budget), "u long, v long, d long, tight boolean"))
     best = found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select("u", "m.v")
-    pairs = best.unionAll(found.where("tight").select("u", "v"))
-    pairs = scratch.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = scratch.save(best.unionAll(found.where("tight").select("u", "v")).select(F.col("v").alias("c"), "u", "v"))
     close = scratch.save(found.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
     some = scratch.save(sketch.join(close, F.col("t") == F.col("_t"), "left_semi"))
     own = docs.join(some.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).groupBy("t").agg(F.first("n").alias("n"), F.first("text").alias("text"))
@@ -349,7 +346,9 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     stars = components(checked(pairs, own, scratch), scratch)
     labelled = some.join(stars, F.col("t") == F.col("u"), "left").select("t", "n", F.coalesce("v", "t").alias("r"), *lanes)
     more = scratch.save(tries(labelled, "r").mapInArrow(lambda b: _unlike(b, budget), "u long, v long").distinct())
-    more = checked(more, own, scratch)
+    of = components(scratch.save(more), scratch)
+    more = more.join(of.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("u") == F.col("_u"), "left").select(F.coalesce("_v", "u").alias("c"), "u", "v")
+    more = checked(scratch.save(more), own, scratch)
     return components(scratch.save(stars.unionAll(more).distinct()), scratch)
 
 
