@@ -69,6 +69,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.
     return table.take(pa.array(order)), group, fps[order]
 
 
+def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What comes, and then the memory that Arrow holds on to goes back: workers wait for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """(fp, root of its component in this task) of all rows that aren't their own root."""
     if (own := _cells(batches)) is None:
@@ -123,7 +129,7 @@ def linked(fps: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
     n = fps.count()
     own = masks(n, budget)
     keyed = fps.select(F.col("fp").alias("f0"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(own)])).alias("s")).select("s.k", "s.key", "f0")
-    edges = dealt(keyed, "f0", n * len(own), scratch).mapInArrow(lambda b: _links(b, budget), "u long, v long")
+    edges = dealt(keyed, "f0", n * len(own), scratch).mapInArrow(lambda b: _freed(_links(b, budget)), "u long, v long")
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return components(edges, scratch)
 
@@ -314,7 +320,7 @@ def checked(pairs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.unionAll(cells.select("c", "i", "j", "u", "v", F.lit(None).cast("string").alias("text")))
     tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // PER_TASK))
     rows = rows.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("v").asc_nulls_first())
-    return scratch.save(rows.mapInArrow(_alike, "u long, v long").distinct())
+    return scratch.save(rows.mapInArrow(lambda b: _freed(_alike(b)), "u long, v long").distinct())
 
 
 def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -327,7 +333,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shuffled, and only they take part the second time.
     """
     lanes = [f"f{i}" for i in range(LANES)]
-    sketch = docs.mapInArrow(_sketches, "t long, n long, " + ", ".join(f"{c} long" for c in lanes))
+    sketch = docs.mapInArrow(lambda b: _freed(_sketches(b)), "t long, n long, " + ", ".join(f"{c} long" for c in lanes))
     sketch = scratch.save(sketch.groupBy("t").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]))  # copies count once
     total, budget = sketch.count(), near_budget()
     keys = samples(total)
@@ -336,7 +342,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
         keyed = rows.select("*", F.posexplode(F.array(*[_sampled(bits) for bits in keys])).alias("k", "key"))
         return dealt(keyed.select("k", "key", "t", "n", *more, *lanes), "t", total * len(keys), scratch)
 
-    found = scratch.save(tries(sketch).mapInArrow(lambda b: _nearest(b, budget), "u long, v long, d long, tight boolean"))
+    found = scratch.save(tries(sketch).mapInArrow(lambda b: _freed(_nearest(b, budget)), "u long, v long, d long, tight boolean"))
     best = found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select("u", "m.v")
     pairs = scratch.save(best.unionAll(found.where("tight").select("u", "v")).select(F.col("v").alias("c"), "u", "v"))
     close = scratch.save(found.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
@@ -345,7 +351,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = scratch.save(own)
     stars = components(checked(pairs, own, scratch), scratch)
     labelled = some.join(stars, F.col("t") == F.col("u"), "left").select("t", "n", F.coalesce("v", "t").alias("r"), *lanes)
-    more = scratch.save(tries(labelled, "r").mapInArrow(lambda b: _unlike(b, budget), "u long, v long").distinct())
+    more = scratch.save(tries(labelled, "r").mapInArrow(lambda b: _freed(_unlike(b, budget)), "u long, v long").distinct())
     of = components(scratch.save(more), scratch)
     more = more.join(of.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("u") == F.col("_u"), "left").select(F.coalesce("_v", "u").alias("c"), "u", "v")
     more = checked(scratch.save(more), own, scratch)
