@@ -167,10 +167,10 @@ def _visits(batches: Iterator[pa.RecordBatch], tree: Tree, most: int, bundle_of:
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), part.column(0).take(at), part.column(1).take(at), pa.array(leaves, pa.list_(pa.int64()))], ["bundle", "qid", "q", "leaves"])
 
 
-def _divided(group: pa.Table) -> pa.Table:
+def _divided(group: pa.Table, aim: int) -> pa.Table:
     """The leaves of a tree of a leaf's own: leaf, sub (neighbours follow one another), c (the centroid)."""
     x, m = unit(matrix(group["v"])), group["m"][0].as_py()
-    tree = Tree(x, max(8, int(LEAF * len(x) / m)))
+    tree = Tree(x, max(8, int(aim * len(x) / m)))
     c = tree.centers[tree.leaves]
     return pa.table({"leaf": pa.array([group["leaf"][0].as_py()] * len(c), pa.int32()), "sub": pa.array(range(len(c)), pa.int32()), "c": pa.array(list(c), pa.list_(pa.float32()))})
 
@@ -259,9 +259,10 @@ def divided(index: DataFrame, wide: dict[int, int], v_type: str, scratch: Scratc
     of = index.sparkSession.createDataFrame([(leaf, m, -(-m // PARTLY), -(-m // ASSIGNED)) for leaf, m in wide.items()], "l int, m long, one int, parts int")
     own = index.join(F.broadcast(of), F.col("leaf") == F.col("l"), "left")
     some = own.where(F.col("l").isNotNull() & (F.pmod(F.xxhash64("vid"), F.col("one")) == 0)).select("leaf", "m", "v")
-    subs = scratch.save(some.groupBy("leaf").applyInArrow(_divided, "leaf int, sub int, c array<float>"))
+    aim = LEAF
+    subs = scratch.save(some.groupBy("leaf").applyInArrow(lambda g: _divided(g, aim), "leaf int, sub int, c array<float>"))
     rows = own.where(F.col("l").isNotNull()).withColumn("y", F.pmod(F.xxhash64("vid", F.lit(1)), F.col("parts"))).select("leaf", "y", "vid", "ids", "v")
-    lots = subs.join(F.broadcast(of), F.col("leaf") == F.col("l")).select("leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias("y"), "sub", "c")
+    lots = subs.join(F.broadcast(of), F.col("leaf") == F.col("l")).select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("y"), "sub", "c")
     deep = rows.groupBy("leaf", "y").cogroup(lots.groupBy("leaf", "y")).applyInArrow(_assigned, f"leaf int, sub int, vid long, ids array<long>, v {v_type}")
     flat = own.where(F.col("l").isNull()).select("leaf", F.lit(0).alias("sub"), "vid", "ids", "v")
     return scratch.save(flat.unionByName(deep)), subs
@@ -353,10 +354,11 @@ def nearest_neighbours(table: DataFrame, is_query: Column, k: int = 5, recall: f
     asks = lambda df, of: df.mapInArrow(lambda b: _visits(b, tree, most, of), f"bundle long, qid long, q {q_type}, leaves array<long>")
     visits = asks(queries, bundle_of).withColumn("leaves", F.transform("leaves", lambda x: F.shiftleft(x, 32)))
     if wide:
+        lots = -(-queries.count() // CELL_QUERIES) or 1
         # to each divided leaf its queries, in lots; the nearest sub-leaves of all leaves that a query visits count together
-        there = asks(queries, dict.fromkeys(wide, -1)).select("qid", "q", F.explode("leaves").cast("int").alias("leaf")).withColumn("y", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // CELL_QUERIES)))))
-        lots = subs.select("leaf", "sub", "c", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-queries.count() // CELL_QUERIES) - 1)))).cast("long").alias("y"))
-        routed = there.groupBy("leaf", "y").cogroup(lots.groupBy("leaf", "y")).applyInArrow(lambda a, b: _routed(a, b, deep or b.num_rows), "leaf int, qid long, sub int, d double")
+        there = asks(queries, dict.fromkeys(wide, -1)).select("qid", "q", F.explode(F.col("leaves").cast("array<int>")).alias("leaf")).withColumn("y", F.pmod(F.xxhash64("qid"), F.lit(lots)))
+        there_too = subs.select("leaf", "sub", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("y"))
+        routed = there.groupBy("leaf", "y").cogroup(there_too.groupBy("leaf", "y")).applyInArrow(lambda a, b: _routed(a, b, deep or b.num_rows), "leaf int, qid long, sub int, d double")
         if deep:
             nearest_first = Window.partitionBy("qid").orderBy("d", "leaf", "sub")
             routed = routed.withColumn("r", F.row_number().over(nearest_first)).where(F.col("r") <= deep)
