@@ -63,6 +63,7 @@ def test_large_families(spark, monkeypatch):
     from zedweave.llm import simhash
 
     monkeypatch.setattr(simhash, "HOT", 16)
+    monkeypatch.setattr(simhash, "SLICE", 2000)
     r, texts = random.Random(3), {}
     for f in range(4):
         base = [f"f{f}w{r.randrange(2000)}" for _ in range(120)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zedweave.plans.store import Store as Scratch
 from zedweave.plans.store import temporary
 
-__all__ = ["ROWS_PER_BUCKET", "WORD", "Scratch", "boxed", "field", "number_rows", "temporary", "unboxed", "words_in"]
+__all__ = ["ROWS_PER_BUCKET", "WORD", "Scratch", "boxed", "field", "marked", "number_rows", "temporary", "unboxed", "words_in"]
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows numbered by one task at a time, see number_rows.
 ROWS_PER_BUCKET = 250_000
 
+#: Bits of the bitmaps of marked: 2**20 rows of 64.
+BITMAP = 1 << 26
+
 
 def boxed(df: DataFrame) -> DataFrame:
     """All columns as one struct column `row`, so that none clashes with a name used beside it."""
@@ -31,6 +34,18 @@ def unboxed(df: DataFrame, columns: list[str], replaced: dict[str, Column] | Non
     return df.select(*[(replaced or {}).get(c, field(c)).alias(c) for c in columns])
 
 
+def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df with `_hit`: false only where the value of key, a 64-bit hash, is surely not among keys (a column `_m` of such).
+
+    A bitmap of BITMAP bits is broadcast, in BITMAP / 64 rows at most whatever the keys' number, so that rows without a match
+    needn't be shuffled to find out. With very many keys it says yes to most.
+    """
+    bit = lambda c: F.pmod(F.col(c), F.lit(BITMAP).cast("long"))
+    words = keys.select(bit("_m").alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("_bits"))
+    df = df.withColumn("_b", bit(key)).join(F.broadcast(words), F.shiftright("_b", 6) == F.col("_word"), "left")
+    return df.withColumn("_hit", F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_b % 64 as int)) & 1 = 1"), F.lit(False))).drop("_b", "_word", "_bits")
+
+
 def words_in(text: Column) -> Column:
     """Number of words; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zedweave.llm import trie
-from zedweave.llm.common import Scratch, boxed, field, unboxed
+from zedweave.llm.common import Scratch, boxed, field, marked, unboxed
 from zedweave.llm.tokens import texts
 
 #: Expected fingerprints of a key; more keys of more bits are taken as fingerprints grow in number.
@@ -26,12 +26,12 @@ PER_TASK = 100_000
 #: near_copies: shingles of WORDS words; SIMILAR / 100 of two texts' distinct shingles in common; 64-bit lanes of a fingerprint.
 WORDS, SIMILAR, LANES = 5, 80, 4
 #: Expected standard deviations of the differing bits above their mean at that similarity that the budget allows, the share of such
-#: pairs that may agree in no key, and fingerprints of such a key.
-DEVIATIONS, MISSED, RARE = 3, 0.01, 128
-#: Texts within TIGHT of the budget hang together at once; their links are looked at for FIRST keys.
-TIGHT, FIRST = 0.25, 2
+#: pairs that may agree in no key, fingerprints of such a key, and its fewest bits.
+DEVIATIONS, MISSED, RARE, BITS = 3, 0.01, 128, 12
+#: Keys of the first round, whose links the others needn't find again.
+FIRST = 3
 #: Shingles of a slice of texts that are compared together.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -198,7 +198,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(own))
             prints.append(wide_fingerprint(own))
         lanes = np.frombuffer(b"".join(prints), dtype=">u8").astype(np.uint64).view(np.int64).reshape(-1, LANES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(lanes[:, i].copy()) for i in range(LANES))], ["t", "n", *names])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(lanes[:, i].copy()) for i in range(LANES))], ["t", "n", *names])
 
 
 def near_budget() -> int:
@@ -219,7 +219,7 @@ def samples(n: int) -> list[np.ndarray]:
     They have as many bits as make keys rare enough for n fingerprints, and are cut from the bits in random order, so that
     those of one order share none.
     """
-    m = min(64, max(8, math.ceil(math.log2(max(n, 1) / RARE))))
+    m = min(64, max(BITS, math.ceil(math.log2(max(n, 1) / RARE))))
     count = math.ceil(math.log(MISSED) / math.log(1 - (1 - angle()) ** m))
     rng, out = np.random.default_rng(42), []
     while len(out) < count:
@@ -234,128 +234,111 @@ def _sampled(bits: np.ndarray) -> Column:
     return F.xxhash64(*[F.col(f"f{i}").bitwiseAND(F.lit(_signed(sum(1 << (63 - (int(b) & 63)) for b in bits if int(b) >> 6 == i)))) for i in sorted(lanes)])
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """(u, v, d, tight): for each row t that has any within the budget, one of the nearest that are unlike it at their
-    time; tight: links that join the components of FIRST keys' tight pairs, within which nothing more is looked at."""
+def _loose(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """(u, v): links enough to join all rows t, of unlike labels r, that have close fingerprints."""
     if (own := _cells(batches)) is None:
         return
     table, group, fps = own
-    t, n, first = table["t"].to_numpy(), table["n"].to_numpy(), table["k"].to_numpy() < FIRST
-    root, best = np.arange(len(t)), np.full(len(t), np.iinfo(np.int64).max)
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    t, n = table["t"].to_numpy(), table["n"].to_numpy()
+    _, first, of = np.unique(table["r"].to_numpy(), return_index=True, return_inverse=True)
+    root, found = first[of], []
 
     def seen(a: np.ndarray, b: np.ndarray) -> None:
-        d = trie.differing(fps[a], fps[b]).astype(np.int64)
-        fit = (d <= budget) & (100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]))
-        a, b, d = a[fit], b[fit], d[fit]
-        np.minimum.at(best, a, d << 40 | b)
-        np.minimum.at(best, b, d << 40 | a)
-        a, b = (x[d <= TIGHT * budget] for x in (a, b))
-        a, b = trie.linking(root, a, b)
+        fit = 100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b])
+        a, b = trie.linking(root, a[fit], b[fit])
         trie.joined(root, a, b)
-        ends.append((a[first[a]], b[first[a]]))
+        found.append((t[a], t[b]))
 
-    near = np.flatnonzero(group[1:] == group[:-1])
+    near = np.flatnonzero((group[1:] == group[:-1]) & (trie.differing(fps[1:], fps[:-1]) <= budget))
     seen(near, near + 1)
     for a, b in trie.close_pairs(group, fps, budget, root):
         seen(a, b)
-    at = np.flatnonzero(best < np.iinfo(np.int64).max)
-    a, b = (np.concatenate(x) for x in zip(*ends))
-    u, v = np.concatenate([t[at], t[a]]), np.concatenate([t[best[at] & (1 << 40) - 1], t[b]])
-    d, tight = np.concatenate([best[at] >> 40, np.zeros(len(a), dtype=np.int64)]), np.arange(len(u)) >= len(at)
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d), pa.array(tight)], ["u", "v", "d", "tight"])
+    u, v = (np.concatenate(x) for x in zip(*found))
+    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def _links_of_texts(t: list[int], own: list[set[int]], fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """Links that join the texts t that are alike. Pairs of close fingerprints come from the trie, the closest of a lot first; those
+    within a component that is known aren't compared."""
+    order = np.lexsort(fps.T[::-1])
+    fps, t, own = fps[order], [t[i] for i in order], [own[i] for i in order]
+    parent, root, links = list(range(len(t))), np.arange(len(t)), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in trie.close_pairs(np.zeros(len(t), dtype=int), fps, budget, root):
+        for k in np.argsort(trie.differing(fps[a], fps[b]), kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            if (rx := find(x)) == (ry := find(y)):
+                continue
+            m, n = len(own[x]), len(own[y])
+            if 100 * min(m, n) >= SIMILAR * max(m, n):
+                both = len(own[x] & own[y])
+                if 100 * both >= SIMILAR * (m + n - both):
+                    parent[max(rx, ry)] = min(rx, ry)
+                    links.append((max(t[x], t[y]), min(t[x], t[y])))
+        root[:] = [find(x) for x in range(len(t))]
+    return links
+
+
+def _alike(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) that join the texts of each cell that are alike. Rows (c, i, j, t, text, lanes) come cell by cell."""
+    cell, t, own, fps = None, [], [], []
+
+    def links() -> pa.RecordBatch:
+        found = _links_of_texts(t, own, np.array(fps, dtype=np.uint64), budget) if len(t) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-
-def _unlike(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """(u, v): all pairs of rows t within the budget whose labels r differ."""
-    if (own := _cells(batches)) is None:
-        return
-    table, group, fps = own
-    t, n = table["t"].to_numpy(), table["n"].to_numpy()
-    for a, b in trie.close_pairs(group, fps, budget, table["r"].to_numpy()):
-        fit = 100 * np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b])
-        if fit.any():
-            u, v = t[a[fit]], t[b[fit]]
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (u, v) whose texts are alike. Rows (c, i, j, u, v, text) come cell by cell, in each the texts of u first."""
-    cell, held = None, {}
     for batch in batches:
-        keys, texts_ = list(zip(*(batch.column(k).to_pylist() for k in range(5)))), batch.column(5)
-        found = []
-        for k, (*at, u, v) in enumerate(keys):
+        lanes = np.stack([batch.column(5 + k).to_numpy().view(np.uint64) for k in range(LANES)], axis=1)
+        for k, at in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
             if at != cell:
-                cell, held = at, {}
-            if v is None:
-                own = shingles(texts_[k].as_py())
-                held[u] = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), dtype=np.uint64, count=len(own)))
-            else:
-                a, b = held[u], held[v]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= SIMILAR * (len(a) + len(b) - both):
-                    found.append((u, v))
-        if found:
-            u, v = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
-def checked(pairs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of pairs (c, u, v), saved, those whose texts (own: t, n, text) are alike, saved as (u, v), u > v.
-
-    The texts of the pairs of one c meet in one cell, or, if they are many, slice by slice in a cell for each two slices: so a
-    text is shuffled once or as often as there are slices, not once a pair.
-    """
-    members = pairs.select("c", F.explode(F.array("u", "v")).alias("t")).distinct()
-    members = scratch.save(members.join(own.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).select("t", "c", "n"))
-    slices = members.groupBy("c").agg(F.ceil(F.sum("n") / SLICE).alias("s")).where("s > 1").select(F.col("c").alias("_c"), "s")
-    cells = pairs.join(slices, F.col("c") == F.col("_c"), "left")
-    slot = lambda x: F.pmod(F.xxhash64(x, F.lit(7)), F.coalesce("s", F.lit(1)))
-    cells = cells.select("c", F.least(slot("u"), slot("v")).alias("i"), F.greatest(slot("u"), slot("v")).alias("j"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    cells = scratch.save(cells.distinct())
-    needed = cells.select("c", "i", "j", F.explode(F.array("u", "v")).alias("u")).distinct()
-    rows = needed.join(own, F.col("u") == F.col("t")).select("c", "i", "j", "u", F.lit(None).cast("long").alias("v"), "text")
-    rows = rows.unionAll(cells.select("c", "i", "j", "u", "v", F.lit(None).cast("string").alias("text")))
-    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // PER_TASK))
-    rows = rows.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", F.col("v").asc_nulls_first())
-    return scratch.save(rows.mapInArrow(lambda b: _freed(_alike(b)), "u long, v long").distinct())
+                yield links()
+                cell, t, own, fps = at, [], [], []
+            t.append(batch.column(3)[k].as_py())
+            own.append(set(map(xxhash.xxh64_intdigest, shingles(batch.column(4)[k].as_py()))))
+            fps.append(lanes[k])
+    yield links()
 
 
 def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs: texts `t` (hash), `text`. A saved table (u, v): v is the smallest member of u's component of near copies, u isn't.
 
-    Two texts are near copies if SIMILAR / 100 of their distinct WORDS-word shingles are common. Trie self-joins of
-    SimHash fingerprints, within keys of sampled bits, propose pairs within near_budget(), and the texts decide. First each text's
-    nearest is looked at, and links of tight pairs; then all close pairs of texts that aren't in one component yet: links
-    within a component join nothing, so large groups of copies don't make squares. Only texts that have a close one are
-    shuffled, and only they take part the second time.
+    Two texts are near copies if SIMILAR / 100 of their distinct WORDS-word shingles are common. Trie self-joins of SimHash
+    fingerprints, within keys of sampled bits, find the loose components of texts within near_budget() of each other: links of FIRST
+    keys, then of all keys those between components. The texts of a loose component meet in one cell (or, if they are many,
+    slice by slice in a cell for each two slices), where a trie of all of them proposes pairs and the texts decide. Only links
+    are returned from tasks, never the pairs of a group, and only texts of loose components are shuffled.
     """
     lanes = [f"f{i}" for i in range(LANES)]
-    sketch = docs.mapInArrow(lambda b: _freed(_sketches(b)), "t long, n long, " + ", ".join(f"{c} long" for c in lanes))
+    sketch = docs.mapInArrow(lambda b: _freed(_sketches(b)), "t long, n int, " + ", ".join(f"{c} long" for c in lanes))
     sketch = scratch.save(sketch.groupBy("t").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]))  # copies count once
     total, budget = sketch.count(), near_budget()
     keys = samples(total)
 
-    def tries(rows: DataFrame, *more: str) -> DataFrame:
-        keyed = rows.select("*", F.posexplode(F.array(*[_sampled(bits) for bits in keys])).alias("k", "key"))
-        return dealt(keyed.select("k", "key", "t", "n", *more, *lanes), "t", total * len(keys), scratch)
-
-    found = scratch.save(tries(sketch).mapInArrow(lambda b: _freed(_nearest(b, budget)), "u long, v long, d long, tight boolean"))
-    best = found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select("u", "m.v")
-    pairs = scratch.save(best.unionAll(found.where("tight").select("u", "v")).select(F.col("v").alias("c"), "u", "v"))
-    close = scratch.save(found.select(F.explode(F.array("u", "v")).alias("_t")).distinct())
-    some = scratch.save(sketch.join(close, F.col("t") == F.col("_t"), "left_semi"))
-    own = docs.join(some.select(F.col("t").alias("_t"), "n"), F.col("t") == F.col("_t")).groupBy("t").agg(F.first("n").alias("n"), F.first("text").alias("text"))
-    own = scratch.save(own)
-    stars = components(checked(pairs, own, scratch), scratch)
-    labelled = some.join(stars, F.col("t") == F.col("u"), "left").select("t", "n", F.coalesce("v", "t").alias("r"), *lanes)
-    more = scratch.save(tries(labelled, "r").mapInArrow(lambda b: _freed(_unlike(b, budget)), "u long, v long").distinct())
-    of = components(scratch.save(more), scratch)
-    more = more.join(of.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col("u") == F.col("_u"), "left").select(F.coalesce("_v", "u").alias("c"), "u", "v")
-    more = checked(scratch.save(more), own, scratch)
-    return components(scratch.save(stars.unionAll(more).distinct()), scratch)
+    def loose(some: list[np.ndarray], labels: DataFrame | None) -> DataFrame:
+        rows = sketch.withColumn("r", F.col("t"))
+        if labels is not None:
+            rows = sketch.join(labels, F.col("t") == F.col("u"), "left").withColumn("r", F.coalesce("v", "t")).drop("u", "v")
+        keyed = rows.select("*", F.posexplode(F.array(*[_sampled(bits) for bits in some])).alias("k", "key")).select("k", "key", "t", "n", "r", *lanes)
+        return scratch.save(dealt(keyed, "t", total * len(some), scratch).mapInArrow(lambda b: _freed(_loose(b, budget)), "u long, v long").distinct())
+
+    stars = components(loose(keys[:FIRST], None), scratch)
+    stars = components(scratch.save(stars.unionAll(loose(keys, stars)).distinct()), scratch)
+    members = stars.select(F.col("u").alias("t"), F.col("v").alias("c")).unionAll(stars.select(F.col("v").alias("t"), F.col("v").alias("c")).distinct())
+    members = scratch.save(members.join(sketch.withColumnRenamed("t", "_t"), F.col("t") == F.col("_t")).drop("_t"))
+    slices = members.groupBy("c").agg(F.ceil(F.sum("n") / SLICE).alias("s")).where("s > 1").select(F.col("c").alias("_c"), "s")
+    near = marked(docs, "t", members.select(F.col("t").alias("_m"))).where("_hit").drop("_hit")
+    near = near.groupBy("t").agg(F.first("text").alias("text")).join(members.withColumnRenamed("t", "_t"), F.col("t") == F.col("_t"))
+    near = near.join(slices, F.col("c") == F.col("_c"), "left").withColumn("slot", F.pmod(F.xxhash64("t", F.lit(7)), F.coalesce("s", F.lit(1))))
+    cells = near.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("s", F.lit(1)) - 1)))
+    cells = cells.select("c", F.least("slot", "o").alias("i"), F.greatest("slot", "o").alias("j"), "t", "text", *lanes)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // PER_TASK))
+    cells = cells.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return components(scratch.save(cells.mapInArrow(lambda b: _freed(_alike(b, budget)), "u long, v long").distinct()), scratch)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,7 +365,9 @@ def first_of_each(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: s
     is_first = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_hash") == F.col("_h"))
     goes = scratch.save(own.where(~is_first).select(F.col("doc_id").alias("_di"), F.col("text_hash").alias("_dh")))
     out = boxed(docs).select("row", field(id_col).cast("long").alias("_id"), F.xxhash64(field(text_col)).alias("_th"))
-    out = out.join(goes, F.col("_id").eqNullSafe(F.col("_di")) & (F.col("_th") == F.col("_dh")), "left_anti")
+    out = marked(out.withColumn("_k", F.xxhash64("_id", "_th")), "_k", goes.select(F.xxhash64("_di", "_dh").alias("_m")))
+    # rows that stay for sure aren't shuffled
+    out = out.where(~F.col("_hit")).unionAll(out.where("_hit").join(goes, F.col("_id").eqNullSafe(F.col("_di")) & (F.col("_th") == F.col("_dh")), "left_anti"))
     again = own.where(is_first).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").head(1)
     if again:  # rows repeat as a whole
         out = out.dropDuplicates(["_id", "_th"])
