@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from collections.abc import Iterator
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zedweave.plans.store import Store as Scratch
 from zedweave.plans.store import temporary
 
-__all__ = ["ROWS_PER_BUCKET", "WORD", "Scratch", "boxed", "field", "marked", "number_rows", "temporary", "unboxed", "words_in"]
+__all__ = ["ROWS_PER_BUCKET", "WORD", "Scratch", "boxed", "field", "freed", "marked", "number_rows", "temporary", "unboxed", "words_in"]
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +26,20 @@ ROWS_PER_BUCKET = 250_000
 BITMAP = 1 << 26
 
 
+_T = TypeVar("_T")
+
+
+def freed(results: Iterator[_T]) -> Iterator[_T]:
+    """What a task yields; at its end the memory that Arrow and the allocator hold on to goes back, for the Python worker stays and
+    waits for other tasks beside a JVM that may need it."""
+    yield from results
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """All columns as one struct column `row`, so that none clashes with a name used beside it."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from zedweave.llm.common import Scratch, number_rows
+from zedweave.llm.common import Scratch, freed, number_rows
 from zedweave.llm.tokens import encoder, texts
 
 #: Tokens of padding that a further cut must save.
@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: i
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch.save(slim.mapInArrow(lambda b: _pieces(b, tokenizer, capacity, end), PIECES))
+    pieces = scratch.save(slim.mapInArrow(lambda b: freed(_pieces(b, tokenizer, capacity, end)), PIECES))
     counts = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
     numbered = scratch.save(number_rows(pieces, ["class"], ["doc_id", "start", "ids_crc32"], "salt", sum(counts.values())))
     bases, whole, base = {}, {}, 0

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zedweave.llm.common import freed
 from zedweave.llm.tokens import texts
 
 #: Kinds in the order of spans; the first four are the base.
@@ -189,12 +190,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty result. Whole texts are read, in one pass each; columns of other names are ignored.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        lambda b: freed(_find(b)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def _redact(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in series:
-        yield pd.Series([None if t is None else redacted(t, find(t)) for t in s], dtype=object)
+    yield from freed(pd.Series([None if t is None else redacted(t, find(t)) for t in s], dtype=object) for s in series)
 
 
 def _clean(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zedweave.llm import trie
-from zedweave.llm.common import Scratch, boxed, field, marked, unboxed
+from zedweave.llm.common import Scratch, boxed, field, freed, marked, unboxed
 from zedweave.llm.tokens import texts
 
 #: Expected fingerprints of a key; more keys of more bits are taken as fingerprints grow in number.
@@ -69,12 +69,6 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.
     return table.take(pa.array(order)), group, fps[order]
 
 
-def _freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What comes, and then the memory that Arrow holds on to goes back: workers wait for other tasks."""
-    yield from batches
-    pa.default_memory_pool().release_unused()
-
-
 def _links(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """(fp, root of its component in this task) of all rows that aren't their own root."""
     if (own := _cells(batches)) is None:
@@ -129,7 +123,7 @@ def linked(fps: DataFrame, budget: int, scratch: Scratch) -> DataFrame:
     n = fps.count()
     own = masks(n, budget)
     keyed = fps.select(F.col("fp").alias("f0"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(own)])).alias("s")).select("s.k", "s.key", "f0")
-    edges = dealt(keyed, "f0", n * len(own), scratch).mapInArrow(lambda b: _freed(_links(b, budget)), "u long, v long")
+    edges = dealt(keyed, "f0", n * len(own), scratch).mapInArrow(lambda b: freed(_links(b, budget)), "u long, v long")
     edges = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return components(edges, scratch)
 
@@ -165,7 +159,7 @@ def near_duplicates(docs: DataFrame, budget: int = 4, words: int = 4, id_col: st
     scratch = Scratch(docs.sparkSession, "simhash")
     text = F.col(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    own = scratch.save(slim.mapInArrow(lambda b: _fingerprints(b, words), "doc_id long, text_hash long, fp long"))
+    own = scratch.save(slim.mapInArrow(lambda b: freed(_fingerprints(b, words)), "doc_id long, text_hash long, fp long"))
     fps = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = linked(fps, budget, scratch)
     hangs = fps.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
@@ -314,7 +308,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     are returned from tasks, never the pairs of a group, and only texts of loose components are shuffled.
     """
     lanes = [f"f{i}" for i in range(LANES)]
-    sketch = docs.mapInArrow(lambda b: _freed(_sketches(b)), "t long, n int, " + ", ".join(f"{c} long" for c in lanes))
+    sketch = docs.mapInArrow(lambda b: freed(_sketches(b)), "t long, n int, " + ", ".join(f"{c} long" for c in lanes))
     sketch = scratch.save(sketch.groupBy("t").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in lanes]))  # copies count once
     total, budget = sketch.count(), near_budget()
     keys = samples(total)
@@ -324,7 +318,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
         if labels is not None:
             rows = sketch.join(labels, F.col("t") == F.col("u"), "left").withColumn("r", F.coalesce("v", "t")).drop("u", "v")
         keyed = rows.select("*", F.posexplode(F.array(*[_sampled(bits) for bits in some])).alias("k", "key")).select("k", "key", "t", "n", "r", *lanes)
-        return scratch.save(dealt(keyed, "t", total * len(some), scratch).mapInArrow(lambda b: _freed(_loose(b, budget)), "u long, v long").distinct())
+        return scratch.save(dealt(keyed, "t", total * len(some), scratch).mapInArrow(lambda b: freed(_loose(b, budget)), "u long, v long").distinct())
 
     stars = components(loose(keys[:FIRST], None), scratch)
     stars = components(scratch.save(stars.unionAll(loose(keys, stars)).distinct()), scratch)
@@ -338,7 +332,7 @@ def near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     cells = cells.select("c", F.least("slot", "o").alias("i"), F.greatest("slot", "o").alias("j"), "t", "text", *lanes)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // PER_TASK))
     cells = cells.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j")
-    return components(scratch.save(cells.mapInArrow(lambda b: _freed(_alike(b, budget)), "u long, v long").distinct()), scratch)
+    return components(scratch.save(cells.mapInArrow(lambda b: freed(_alike(b, budget)), "u long, v long").distinct()), scratch)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zedweave.llm import files
-from zedweave.llm.common import Scratch, temporary
+from zedweave.llm.common import Scratch, freed, temporary
 from zedweave.llm.tokens import encoder, texts
 
 #: A part ends with the document that fills it to so many bytes of ids or documents.
@@ -102,14 +102,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, id_
     scratch = Scratch(docs.sparkSession, "token-ids")
     text = F.col(text_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    ids = scratch.save(slim.mapInArrow(lambda b: _encode(b, tokenizer, end), IDS))
+    ids = scratch.save(slim.mapInArrow(lambda b: freed(_encode(b, tokenizer, end)), IDS))
     held = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"]
     width = encoder(tokenizer).dtype.itemsize
     # the last key parts rows that agree in all else
     order = ["doc_id", "hash", "salt"]
     parts = max(-(-4 * held // PART_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (held >> 20)))
     slim = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    return slim.mapInArrow(lambda b: _write(b, folder, width), PARTS)
+    return slim.mapInArrow(lambda b: freed(_write(b, folder, width)), PARTS)
 
 
 def part_ids(path: str, width: int) -> np.ndarray | None:
@@ -153,7 +153,7 @@ def read_tokens(parts: DataFrame) -> DataFrame:
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     based = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     n = max(1, parts.count())
-    return based.repartition(n).mapInArrow(_read, ROWS)
+    return based.repartition(n).mapInArrow(lambda b: freed(_read(b)), ROWS)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zedweave.llm import files
-from zedweave.llm.common import Scratch
+from zedweave.llm.common import Scratch, freed
 
 #: Payload bytes after which a task begins another archive, so that reading can be dealt out.
 ARCHIVE_BYTES = 64 << 20
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
     again = scratch.save(again.select(F.col("page_id").alias("_page"), "_d", "_first"))
     rows = slim.withColumn("_k", F.unhex(F.sha1("html"))).join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_k") == F.col("_d")), "left")
     rows = rows.select("page_id", "url", "html", F.col("_first").alias("refers_to"), F.col("_first").isNotNull().alias("revisit"))
-    return rows.mapInArrow(lambda b: _write(b, folder), ARCHIVES)
+    return rows.mapInArrow(lambda b: freed(_write(b, folder)), ARCHIVES)
 
 
 def _page(uri: str) -> int | None:
@@ -197,7 +197,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     archives (path, n_records; other columns are ignored) must be saved. Null ids and URLs come back as null; repeated rows
     are records of their own; no archives give no rows. An archive that doesn't hold what it declares fails with Broken.
     """
-    return archives.repartition(max(1, archives.count())).mapInArrow(_read, ROWS)
+    return archives.repartition(max(1, archives.count())).mapInArrow(lambda b: freed(_read(b)), ROWS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
