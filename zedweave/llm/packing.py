@@ -59,10 +59,10 @@ def cuts(n: int, capacity: int = 1024) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int, cache: int | None = None) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PIECES.split(", ")]
     types = [pa.int32() if x.endswith(" int") else pa.int64() for x in PIECES.split(", ")]
-    encode, salt = encoder(path), TaskContext.get().partitionId()
+    encode, salt = encoder(path, cache), TaskContext.get().partitionId()
     rows: list[tuple] = []
     make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
     for doc, text in texts(batches):
@@ -89,7 +89,7 @@ def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` (at least 1) tokens.
 
     Harmonic: each worker cuts its documents into pieces of the length classes capacity / k, and each class fills its own
@@ -98,12 +98,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: i
     (about 4,000 for 1024) whatever the input, are packed first-fit. Returns a row per piece: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset. A null or empty text is its end id alone. Null or repeated ids, repeated rows and ties
     make pieces of their own, in no defined order among equals. Long texts are cut, never shortened.
-    An empty table gives an empty result. Columns of other names are ignored.
+    An empty table gives an empty result. Columns of other names are ignored. cache: entries of a worker's token cache, if not
+    the usual number; fewer take less memory and more time.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch.save(slim.mapInArrow(lambda b: freed(_pieces(b, tokenizer, capacity, end)), PIECES))
+    pieces = scratch.save(slim.mapInArrow(lambda b: freed(_pieces(b, tokenizer, capacity, end, cache)), PIECES))
     counts = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
     numbered = scratch.save(number_rows(pieces, ["class"], ["doc_id", "start", "ids_crc32"], "salt", sum(counts.values())))
     bases, whole, base = {}, {}, 0

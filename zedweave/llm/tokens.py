@@ -49,7 +49,7 @@ def byte_table() -> dict[int, int]:
 class Encoder:
     """ids(text): the ids as bytes, little-endian unsigned 16-bit integers (32-bit for large vocabularies)."""
 
-    def __init__(self, path: str, kind: str | None = None):
+    def __init__(self, path: str, kind: str | None = None, cache: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,7 +63,7 @@ class Encoder:
         if kind is None:
             kind = "word" if "'t|" in pre and "</w>" in str(self.tokenizer.model.end_of_word_suffix) else "byte" if "ByteLevel" in pre else "other"
         self.kind = "other" if any(t.normalized for t in added) else kind
-        self.cache = _Cache(self.unit)
+        self.cache = _Cache(self.unit, cache or CACHE)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -91,15 +91,15 @@ class Encoder:
 class _Cache(dict):
     """From a unit to its ids. Starts afresh when full."""
 
-    def __init__(self, unit):
+    def __init__(self, unit, most: int):
         super().__init__()
-        self.unit = unit
+        self.unit, self.most = unit, most
 
     def __missing__(self, u: str) -> bytes:
         if len(u) > LONGEST:
             return self.unit(u)
         b = self[u[:-1]] + self[u[-1]] if u[-1:] in _MARKS and u[-2:-1].isalpha() else self.unit(u)  # " word." is " word" and "."
-        if len(self) >= CACHE:
+        if len(self) >= self.most:
             self.clear()
         self[u] = b
         return b
@@ -108,10 +108,12 @@ class _Cache(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This Python worker's encoder of a vocabulary file, whose path must be readable on every machine."""
+def encoder(path: str, cache: int | None = None) -> Encoder:
+    """This Python worker's encoder of a vocabulary file, whose path must be readable on every machine. cache: its entries at
+    most, if not CACHE."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache=cache)
+    _encoders[path].cache.most = cache or CACHE
     return _encoders[path]
 
 
