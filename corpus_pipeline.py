@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in a sequence. A null text is its end id alone; repeated rows are documents of their
     own; long texts are cut into pieces. See packing.pack_documents."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), cache=200_000)  # workers of other stages wait beside its own
 
 
 STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("personal data", personal_data), ("mix", mix), ("pack", pack)]
