@@ -76,3 +76,32 @@ def test_large_closures_are_not_shuffled_by_round(spark, monkeypatch):
     run.commit()
     assert sorted(map(tuple, out.read(run).collect())) == closure(pairs + more)
     assert used
+
+
+def test_tasks_go_by_what_is_read(spark, monkeypatch):
+    """Jobs of a recursion over large tables have more tasks, by the session's settings only while they run."""
+    from zedweave.plans import store
+    from zedweave.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda: sorted(map(tuple, QUERIES["distances_cyclic"](spark, folder).collect()))
+    names = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    settings = lambda: [spark.conf.get(n) for n in names]
+    want, was, inside, spread = rows(), settings(), [], store.spread
+    monkeypatch.setattr(store, "MANY", 1)
+    monkeypatch.setattr(store, "A_PARTITION", 1 << 12)
+
+    @store.contextmanager
+    def looked_at(df):
+        with spread(df):
+            inside.append(settings())
+            yield
+
+    monkeypatch.setattr(store, "spread", looked_at)
+    assert rows() == want
+    assert max(int(s[0]) for s in inside) > 3 and all(s[1] == s[2] == str(store.A_TASK) for s in inside if s != was)
+    assert settings() == was
+    with pytest.raises(ZeroDivisionError), spread(spark.read.parquet(f"{folder}/lineitem.parquet")):
+        assert settings() != was
+        raise ZeroDivisionError
+    assert settings() == was

@@ -144,7 +144,7 @@ class Session:
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         self.build, self.spark, self.mode, self.step = build, build.spark, mode, 0
-        self.store = Store(build.spark, "relations")
+        self.store = Store(build.spark, "relations", spreads=True)
         self.messages: dict[int, int] | None = {} if count_messages else None
         self._snapshot: Snapshot | None = None
         self._run: DeltaRun | None = None

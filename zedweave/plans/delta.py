@@ -123,7 +123,8 @@ class DeltaRun:
         """d with equal rows merged, saved; None if nothing is left."""
         if getattr(d, "_zedweave_written", None) is node:
             return d
-        if not (isinstance(node, Reduce) and node.unit):  # their rules leave no equal rows
+        whole = isinstance(node, Enter) and (self.last < 0 or self.outer is None)  # not changes, but all contents
+        if not ((isinstance(node, Reduce) or whole) and node.unit):  # these have no equal rows
             d = consolidated(d, node.weights)
         return self.written(d, node)
 

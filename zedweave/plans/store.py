@@ -6,9 +6,10 @@ import getpass
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,42 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "file://" + os.path.join(tempfile.gettempdir(), f"zedweave-{getpass.getuser()}")).rstrip("/")
 
 
+#: Bytes of a job's tables from which on its tasks go by them; those read by a task, and by a partition of a shuffle before
+#: Spark joins small ones. The size that stands for an unknown one, and the most partitions.
+MANY, A_TASK, A_PARTITION, UNKNOWN, MOST = 32 << 20, 8 << 20, 2 << 20, 1 << 60, 1 << 15
+
+_spreading = threading.RLock()
+
+
+@contextmanager
+def spread(df: DataFrame) -> Iterator[None]:
+    """In the block jobs over large tables have tasks in proportion to these, so that a task's memory doesn't grow with the
+    input. What the session's settings say holds where it means more tasks, and again after the block."""
+    size = lambda plan: int(plan.stats().sizeInBytes())
+    execution, conf = df._jdf.queryExecution(), df.sparkSession.conf
+    leaves = execution.analyzed().collectLeaves()
+    read = sum(n for n in (size(leaves.apply(k)) for k in range(leaves.size())) if n < UNKNOWN)
+    if read >= MANY:
+        read = min(read, size(execution.optimizedPlan()))  # knows the columns that are read, but multiplies in joins
+    if read < MANY:
+        yield
+        return
+    with _spreading:
+        of = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+        wanted = {f"spark.sql.{k}": (of(conf.get(f"spark.sql.{k}")), A_TASK, min) for k in ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes")}
+        for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"):
+            if (own := conf.get(k, None)) is not None or k.endswith("shuffle.partitions"):
+                wanted[k] = (int(own or conf.get(k)), min(MOST, -(-read // A_PARTITION)), max)
+        was = {k: conf.get(k, None) for k in wanted}
+        try:
+            for k, (own, new, better) in wanted.items():
+                conf.set(k, str(better(own, new)))
+            yield
+        finally:
+            for k, own in was.items():
+                conf.unset(k) if own is None else conf.set(k, own)
+
+
 _watching: list[list[Store]] = []
 
 
@@ -40,10 +77,10 @@ def temporary() -> Iterator[None]:
 
 class Store:
     """Tables below a folder of this store's own, which is deleted when the driver ends, if not before. A saved table has no
-    lineage and survives lost executors."""
+    lineage and survives lost executors. spreads: whether the jobs that write go by `spread`."""
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, tag: str, spreads: bool = False):
+        self.spark, self.spreads, self.path, self.n = spark, spreads, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
         self.places: dict[int, str] = {}
         if _watching:
             _watching[-1].append(self)
@@ -51,7 +88,8 @@ class Store:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
+        with spread(df) if self.spreads else nullcontext():
+            df.write.parquet(at)
         if self.n == 1:
             path, store = self._on_store(self.path)
             store.deleteOnExit(path)
