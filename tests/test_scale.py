@@ -105,3 +105,33 @@ def test_tasks_go_by_what_is_read(spark, monkeypatch):
         assert settings() != was
         raise ZeroDivisionError
     assert settings() == was
+
+
+def test_growing_logs_are_not_written_again(spark, monkeypatch):
+    """Rows of a closure that only grows are written once, however long its logs; what is taken back later is merged as ever."""
+    from zedweave.plans import delta, fixpoint
+    from zedweave.plans.store import Store
+    from zedweave.queries import _closure
+
+    wrote, watched = [], Store.watched
+    monkeypatch.setattr(Store, "watched", lambda self, df, w: (out := watched(self, df, w), wrote.append(out._zedweave_rows if out else 0))[0])
+    chain = [(i, i + 1) for i in range(10)]
+
+    def sums(long):
+        for module in (delta, fixpoint):
+            monkeypatch.setattr(module, "LONG", long)
+        wrote.clear()
+        b = Builder(spark)
+        target, edges = b.create_input("s BIGINT, d BIGINT")
+        out = _closure(b, edges).get_arrangement(b)
+        run = b.begin("delta")
+        target.insert_all(run, chain)
+        run.commit()
+        assert sorted(map(tuple, out.read(run).collect())) == [(i, j, 1) for i in range(11) for j in range(i + 1, 11)]
+        made = sum(wrote)
+        target.delete(run, (4, 5))
+        run.commit()
+        assert sorted(map(tuple, out.read(run).collect())) == [(i, j, 1) for i in range(11) for j in range(i + 1, 11) if i > 4 or j < 5]
+        return made
+
+    assert sums(4) == sums(100)
