@@ -47,6 +47,43 @@ def test_triangles_by_the_vertex_of_fewest_wedges(spark, monkeypatch, mode, hub)
     assert read() == sorted((*k, w) for k, w in triangles(*map(ones, (xy, xz, [e for e in yz if e not in set(gone)]))).items())
 
 
+@pytest.mark.parametrize("mode", ["snapshot", "delta"])
+@pytest.mark.parametrize("odd", ["", "hub", "nulls"])
+def test_wedges_of_many_edges_are_closed_by_hashing(spark, monkeypatch, mode, odd):
+    """The tasks of large triangles go by the edges and not by the session's partitions, and wedges aren't sorted."""
+    for name, n in {"MANY_EDGES": 0, "HEAVY": 4, "MANY_HASHED": 0, "HASHED": 8, "SORTED": 40}.items():
+        monkeypatch.setattr(nodes, name, n)
+    apart, by_edge = [], nodes.Triangles.by_edge
+    monkeypatch.setattr(nodes.Triangles, "by_edge", staticmethod(lambda *a: apart.append(a[-1]) or by_edge(*a)))
+    xy, xz, yz = edges(150, 8, 10, 1), edges(300, 8, 120, 2), edges(300, 10, 120, 3)
+    if odd == "hub":  # few edges of one side, so that only their product is large
+        xy, xz, yz = edges(900, 30, 20, 1), xz + [(x, 500) for x in range(2)], yz + [(y, 500) for y in range(900)]
+    if odd == "nulls":
+        xy, xz, yz = xy + [(None, 1), (None, None)], xz + [(None, 500)], yz + [(None, 500), (1, 500)]
+    b = Builder(spark)
+    ins = [b.create_input(f"{p} INT, {q} INT") for p, q in ("ab", "cd", "ef")]
+    relations = [r.distinct() for _, r in ins]
+    out = relations[0].triangles(*relations[1:]).get_arrangement(b)
+    run = b.begin(mode)
+    order = lambda rows: sorted(rows, key=repr)
+    read = lambda: order(map(tuple, out.read(run).collect()))
+    for (i, _), rows in zip(ins, (xy, xz, yz)):
+        i.insert_all(run, rows + rows[:5])
+    run.commit()
+    ones = lambda rows: dict.fromkeys(rows, 1)
+    assert read() == order((*k, w) for k, w in triangles(*map(ones, (xy, xz, yz))).items())
+    assert bool(apart) == (odd == "hub")
+    if mode == "snapshot" and not odd:
+        plan = out.read(run)._jdf.queryExecution().executedPlan().toString()
+        tasks = -(-len(xy) // 8)
+        assert "ShuffledHashJoin" in plan and f"{tasks}), REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    gone = yz[5::3]
+    for e in gone:
+        ins[2][0].delete(run, e)
+    run.commit()
+    assert read() == order((*k, w) for k, w in triangles(*map(ones, (xy, xz, [e for e in yz if e not in set(gone)]))).items())
+
+
 def test_large_closures_are_not_shuffled_by_round(spark, monkeypatch):
     """A distinct that has grown large finds rows that it holds already through a filter of the new ones, and finds all of them."""
     from zedweave.plans import delta

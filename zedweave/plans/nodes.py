@@ -309,14 +309,17 @@ def only(df: DataFrame, node: Node, keys: DataFrame, names: list[str]) -> DataFr
 
 #: Rows of a triangle's relations from which on it is found by wedges, and counters of a sketch of their degrees.
 MANY_EDGES, COUNTERS, HEAVY_COUNTERS, HEAVY = 1 << 17, 1 << 12, 1 << 16, 1 << 10
+#: Rows of a relation from which on wedges are closed by hashing it, if its rows don't repeat; of it in a task, and of the two
+#: that make wedges. Where the session's partitions are as many they are left.
+MANY_HASHED, HASHED, SORTED = 1 << 17, 1 << 18, 1 << 20
 
 
 class Triangles(Node):
     """(x, y), (x, z), (y, z) -> (x, y, z), weights multiply.
 
     Wedges are made at the kind of vertex (x, y or z) that has the fewest, by a sketch of the degrees, and closed by the
-    third relation. Vertices of that kind with very many edges on both sides, which would make wedges by the square of
-    their number, are left to `by_edge`: it completes each edge over the smaller of two neighbourhoods.
+    third relation. Vertices of that kind which make more wedges than there are edges are left to `by_edge`: it completes
+    each edge over the smaller of two neighbourhoods.
     """
 
     op = "triangles"
@@ -333,57 +336,69 @@ class Triangles(Node):
         schema = T.StructType([xy.schema[0], xy.schema[1], xz.schema[1]])
         super().__init__(xy.scope, [xy, xz, yz], schema, unit=xy.unit and xz.unit and yz.unit, positive=xy.positive and xz.positive and yz.positive)
 
-    def found(self, xy: DataFrame, xz: DataFrame, yz: DataFrame, rows: int) -> DataFrame:
-        """rows: those of the three frames, which are saved ones where they are many."""
+    def found(self, xy: DataFrame, xz: DataFrame, yz: DataFrame, rows: int, ones: bool = False) -> DataFrame:
+        """rows: those of the three frames, which are saved ones where they are many. ones: all weights are 1."""
         xy, xz, yz = xy.toDF("x", "y", "w"), xz.toDF("x", "z", "w"), yz.toDF("y", "z", "w")
         if rows < MANY_EDGES:
             out = self.by_edge(xy, xz, yz, "xyz")
         else:
-            out = self.by_vertex(xy, xz, yz)
+            out = self.by_vertex(xy, xz, yz, ones)
         return out.select(*[F.col(v).alias(n) for v, n in zip("xyz", self.columns)], "_w")
 
-    def by_vertex(self, xy: DataFrame, xz: DataFrame, yz: DataFrame) -> DataFrame:
+    def by_vertex(self, xy: DataFrame, xz: DataFrame, yz: DataFrame, ones: bool) -> DataFrame:
         held = {"x": (xy, xz, yz), "y": (xy, yz, xz), "z": (xz, yz, xy)}
-        wedges = self.wedges(held)
-        at = min(held, key=lambda v: (wedges[v], "zyx".index(v)))
+        seen = self.wedges(held)
+        at = min(held, key=lambda v: (seen[v][0], "zyx".index(v)))
         one, two, third = held[at]
         p, q = ((set(df.columns) - {at, "w"}).pop() for df in (one, two))
+        rows = {"x": seen["y"][2], "y": seen["x"][2], "z": seen["x"][1]}[at]  # of the third
+        closed = self.closed
+        if rows >= MANY_HASHED and self.deps["zyx".index(at)].unit and all(plain for *_, plain in seen.values()):
+            n1, n2 = -(-sum(seen[at][1:3]) // SORTED), -(-rows // HASHED)
+            closed = lambda a, b, c, at: self.hashed(a, b, c, at, n1, n2, ones)
         heavy = self.heavy(one, two, at)
         if heavy is None:
-            return self.closed(one, two, third, at)
+            return closed(one, two, third, at)
         is_heavy = F.col(at).eqNullSafe(F.col("_heavy"))
         apart = lambda df, how: df.join(F.broadcast(heavy), is_heavy, how)
-        light = self.closed(apart(one, "left_anti"), apart(two, "left_anti"), third, at)
+        light = closed(apart(one, "left_anti"), apart(two, "left_anti"), third, at)
         rest = self.by_edge(third.select(p, q, "w"), apart(one, "left_semi").select(p, at, "w"), apart(two, "left_semi").select(q, at, "w"), (p, q, at))
         return light.unionByName(rest)
 
     @staticmethod
-    def wedges(held: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> dict[str, int]:
-        """About how many wedges each kind of vertex makes: products of signed sums, whose errors cancel out."""
+    def wedges(held: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> dict[str, tuple[int, int, int, bool]]:
+        """About how many wedges each kind of vertex makes, by products of signed sums, whose errors cancel out; the rows of
+        both sides; and whether `=` finds them as `<=>` does, as a side has no nulls and both have one type."""
         parts = []
         for v, (one, two, _) in held.items():
             for side, df in enumerate((one, two)):
-                h = df.select(F.xxhash64(v).alias("h"))
-                sums = h.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("b")).agg(F.sum(F.when(F.shiftrightunsigned("h", 40).bitwiseAND(1) == 1, 1).otherwise(-1)).alias("s"), F.count(F.lit(1)).alias("n"))
-                parts.append(sums.select(F.lit(v).alias("v"), F.lit(side).alias("side"), "b", "s", "n"))
-        both = union(parts).groupBy("v", "b").agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in "sn" for k in (0, 1)])
-        sums = {r["v"]: r for r in both.groupBy("v").agg(F.sum(F.col("s0") * F.col("s1")).alias("wedges"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
-        return {v: max(sums[v]["wedges"], min(sums[v]["n0"], sums[v]["n1"])) if v in sums else 0 for v in held}
+                h = df.select(F.xxhash64(v).alias("h"), F.col(v).isNull().cast("int").alias("no"))
+                sums = h.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("b")).agg(F.sum(F.when(F.shiftrightunsigned("h", 40).bitwiseAND(1) == 1, 1).otherwise(-1)).alias("s"), F.count(F.lit(1)).alias("n"), F.sum("no").alias("no"))
+                parts.append(sums.select(F.lit(v).alias("v"), F.lit(side).alias("side"), "b", "s", "n", "no"))
+        both = union(parts).groupBy("v", "b").agg(*[F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for c in ("s", "n", "no") for k in (0, 1)])
+        sums = {r["v"]: r for r in both.groupBy("v").agg(F.sum(F.col("s0") * F.col("s1")).alias("wedges"), *[F.sum(c).alias(c) for c in ("n0", "n1", "no0", "no1")]).collect()}
+        out = {}
+        for v, (one, two, _) in held.items():
+            r = sums.get(v)
+            plain = one.schema[v].dataType == two.schema[v].dataType and (r is None or 0 in (r["no0"], r["no1"]))
+            out[v] = (0, 0, 0, plain) if r is None else (max(r["wedges"], min(r["n0"], r["n1"])), r["n0"], r["n1"], plain)
+        return out
 
     @staticmethod
     def heavy(one: DataFrame, two: DataFrame, at: str) -> DataFrame | None:
-        """The vertices of more edges on both sides than the square root of all: so there are few. None: there are none."""
+        """The vertices that make more wedges than there are edges: these have more edges than twice the square root of all,
+        so there are few. None: there are none."""
         crowded = F.pmod(F.xxhash64(at), F.lit(HEAVY_COUNTERS))
         both = one.select(crowded.alias("b"), F.lit(1).alias("o"), F.lit(0).alias("t")).unionByName(two.select(crowded.alias("b"), F.lit(0).alias("o"), F.lit(1).alias("t")))
         sums = both.groupBy("b").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-        total = sums.agg(F.sum(F.col("o") + F.col("t")).alias("n"), F.max(F.least("o", "t")).alias("most")).first()
-        limit = max(HEAVY, int((total["n"] or 0) ** 0.5))
+        total = sums.agg(F.sum(F.col("o") + F.col("t")).alias("n"), F.max(F.col("o") * F.col("t")).alias("most")).first()
+        limit = max(HEAVY**2, total["n"] or 0)
         if not total["n"] or total["most"] <= limit:
             return None
-        buckets = F.broadcast(sums.where((F.col("o") > limit) & (F.col("t") > limit)).select(F.col("b").alias("_b")))
-        many = lambda df: df.join(buckets, crowded == F.col("_b"), "left_semi").groupBy(at).count().where(F.col("count") > limit).select(at)
-        left, right = many(one).toDF("_heavy"), many(two).toDF("_other")
-        rows = left.join(right, F.col("_heavy").eqNullSafe(F.col("_other")), "left_semi").collect()
+        buckets = F.broadcast(sums.where(F.col("o") * F.col("t") > limit).select(F.col("b").alias("_b")))
+        many = lambda df: df.join(buckets, crowded == F.col("_b"), "left_semi").groupBy(at).count()
+        left, right = many(one).toDF("_heavy", "_n"), many(two).toDF("_other", "_m")
+        rows = left.join(right, F.col("_heavy").eqNullSafe(F.col("_other")) & (F.col("_n") * F.col("_m") > limit)).select("_heavy").collect()
         return one.sparkSession.createDataFrame(rows, T.StructType([T.StructField("_heavy", one.schema[at].dataType)])) if rows else None
 
     @staticmethod
@@ -395,6 +410,21 @@ class Triangles(Node):
         whole = wedges.join(c, F.col(p).eqNullSafe(F.col("_p")) & F.col(q).eqNullSafe(F.col("_q")))
         return whole.select("x", "y", "z", (F.col("w") * F.col("w3")).alias("_w"))
 
+    @staticmethod
+    def hashed(one: DataFrame, two: DataFrame, third: DataFrame, at: str, n1: int, n2: int, ones: bool) -> DataFrame:
+        """`closed` for many edges without nulls of which the third relation's don't repeat: wedges aren't sorted, and the
+        tasks of the joins, n1 and n2, go by the edges."""
+        p, q = ((set(df.columns) - {at, "w"}).pop() for df in (one, two))
+        own = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lambda df, n, *by: df.repartition(n, *by) if n > own else df
+        w = lambda name: [] if ones else [F.col("w").alias(name)]
+        a, b = dealt(one.select(at, p, *w("w1")), n1, at), dealt(two.select(F.col(at).alias("_at"), q, *w("w2")), n1, "_at")
+        c = dealt(third.select(F.col(p).alias("_p"), F.col(q).alias("_q"), *w("w3")), n2, "_p", "_q")
+        product = lambda *names: F.lit(1).cast("bigint") if ones else F.col(names[0]) * F.col(names[1])
+        wedges = a.join(b, F.col(at) == F.col("_at")).select(p, q, at, *([] if ones else [product("w1", "w2").alias("w")]))
+        whole = dealt(wedges, n2, p, q).join(c.hint("shuffle_hash"), (F.col(p) == F.col("_p")) & (F.col(q) == F.col("_q")))
+        return whole.select("x", "y", "z", product("w", "w3").alias("_w"))
+
     @staticmethod
     def by_edge(pq: DataFrame, pr: DataFrame, qr: DataFrame, names) -> DataFrame:
         p, q, r = names
@@ -411,7 +441,7 @@ class Triangles(Node):
 
     def snapshot(self, at):
         held = [at.session.store.watched(at.frame(n), None) for n in self.deps]
-        return self.empty() if any(f is None for f in held) else self.found(*held, sum(f._zedweave_rows for f in held))
+        return self.empty() if any(f is None for f in held) else self.found(*held, sum(f._zedweave_rows for f in held), self.unit)
 
     def delta(self, run):
         d = [run.delta(n) for n in self.deps]
